@@ -1,0 +1,42 @@
+"""Operators on conversations: one row per turn, keyed by conversation and turn."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tessera.tables import table
+
+_TURNS = W.partitionBy("conv_id").orderBy("turn")
+
+
+def _conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations")
+
+
+def conv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns by role, characters and last role of each conversation."""
+    return (
+        _conv(spark, sf_dir)
+        .groupBy("conv_id")
+        .agg(
+            F.count("*").alias("turns"),
+            F.count_if(F.col("role") == "user").cast("bigint").alias("user_turns"),
+            F.count_if(F.col("role") == "assistant").cast("bigint").alias("assistant_turns"),
+            F.sum(F.length("text")).cast("bigint").alias("chars"),
+            F.max_by("role", "turn").alias("last_role"),
+        )
+    )
+
+
+QUERIES = {"conv_summary": conv_summary}
+ORACLE_SQL = {
+    "conv_summary": """
+        SELECT conv_id, count(*) AS turns,
+               CAST(count(*) FILTER (WHERE role = 'user') AS BIGINT) AS user_turns,
+               CAST(count(*) FILTER (WHERE role = 'assistant') AS BIGINT) AS assistant_turns,
+               CAST(sum(length(text)) AS BIGINT) AS chars, arg_max(role, turn) AS last_role
+        FROM conversations GROUP BY conv_id
+    """,
+}
