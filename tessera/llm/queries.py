@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, sharding
+from . import exact_dedup, mixing, packing, sharding, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,17 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights 1, 2, 3 in turn, at most 3 copies."""
+    mixed = mixing.mix(_documents(spark, sf_dir), weights=(1.0, 2.0, 3.0), cap=3.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash.near_groups(_documents(spark, sf_dir), shingle=4, seed=42, budget=4)
+    return grouped.select("doc_id", "fingerprint", "component_id")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``key``: 16 shards in two regions of two racks, then one more."""
     placed = sharding.assign(_documents(spark, sf_dir), sharding.topology(16), sharding.topology(17, 16))
@@ -30,6 +41,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_mixing": op6_mixing,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_sharding": op9_sharding,
     "op10_packing": op10_packing,
 }

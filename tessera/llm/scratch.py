@@ -8,11 +8,14 @@ A lost executor then costs a re-read of that file and nothing else.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -59,3 +62,34 @@ def drop(*tables: DataFrame) -> None:
         if path := getattr(t, "_tessera_path", None):
             fs, p = filesystem(t.sparkSession, path)
             fs.delete(p, True)
+
+
+def identified(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a column that tells its rows apart and is the same at each scan.
+
+    It is the Parquet file's hash and the row's place in it. Rows that come from no
+    Parquet scan are written first.
+    """
+
+    def place(df: DataFrame) -> DataFrame:
+        meta = df.metadataColumn("_metadata")
+        return df.withColumn(name, F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("place")))
+
+    try:
+        out = place(docs)
+        out.schema  # noqa: B018  resolves the plan
+        return out
+    except AnalysisException:
+        return place(materialize(docs, "rows"))
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow``, with this package on the path of Python workers on the same file system.
+
+    Executors elsewhere get the package as any other, by ``--py-files`` or an image.
+    """
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = df.sparkSession.sparkContext.environment
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (env.get("PYTHONPATH"), home)))
+    return df.mapInArrow(function, schema)
