@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, packing, sharding, simhash, substring_dedup
+from . import exact_dedup, minhash, mixing, packing, quality, sharding, simhash, substring_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as hosts, their languages as paths."""
+    scored = quality.score(_documents(spark, sf_dir), _labels(spark, sf_dir), host="source", path="lang", sample=20_000)
+    return scored.select("doc_id", "evidence", "host_share", "path_share", "posterior", "kept")
+
+
 def op2_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compare_with_next(_documents(spark, sf_dir))
 
@@ -37,6 +47,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", "fingerprint", "component_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``key``: 16 shards in two regions of two racks, then one more."""
     placed = sharding.assign(_documents(spark, sf_dir), sharding.topology(16), sharding.topology(17, 16))
@@ -48,11 +62,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_minhash_fingerprints": op2_minhash_fingerprints,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_mixing": op6_mixing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_packing": op10_packing,
 }
