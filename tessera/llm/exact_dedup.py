@@ -49,7 +49,7 @@ def _cuts(norm: bytes, hits: np.ndarray, least: int, most: int) -> list[int]:
 
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = 1024, least: int = 256, most: int = 8192) -> DataFrame:
-    """uid, doc_id, n_chars, text_sha256, signature and the chunks (h, digest, length) of each row.
+    """uid (the row's place), doc_id, n_chars, text_sha256, signature and the chunks (h, digest, length) of each row.
 
     mean, least, most: bytes of a chunk; mean is a power of two, least over 16.
     """
@@ -89,12 +89,12 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mea
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_chars, pa.int64()), pa.array(shas, pa.string()), pa.array(signatures, pa.int64()), pa.array(chunks, kind)], ["uid", "doc_id", "n_chars", "text_sha256", "signature", "chunks"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return scratch.map_arrow(rows, cut, f"uid long, doc_id {kind}, n_chars long, text_sha256 string, signature long, chunks array<struct<h: long, digest: binary, length: int>>")
+    rows = scratch.identified(docs, "_tessera_row").select(F.col("_tessera_row").alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return scratch.map_arrow(rows, cut, f"uid struct<file: long, place: long>, doc_id {kind}, n_chars long, text_sha256 string, signature long, chunks array<struct<h: long, digest: binary, length: int>>")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **cutting: int) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_chars, n_chunks.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_chars, n_chunks, row.
 
     Texts are equal if identical without the characters of ``[\\x20\\x09-\\x0D]``. Of
     equal texts the row with most code points stays, then the smallest doc_id (null
@@ -103,7 +103,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns, whatever their names, are not read.
     """
     slim = scratch.materialize(recipes(docs, id_col, text_col, **cutting), "recipes")
-    repeated = slim.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("signature").alias("s"))
+    repeated = scratch.materialize(slim.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("signature").alias("s")), "repeated")
     candidates = scratch.materialize(slim.join(repeated, F.col("signature") == F.col("s"), "left_semi"), "candidates")
 
     # The registry of distinct chunks: contents under one fast hash are told apart by their digest.
@@ -118,6 +118,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     best = F.min(F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("keep_id"), F.col("uid").alias("keep_uid")))
     groups = listed.groupBy("signature", "ids").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    found = listed.join(groups, ["signature", "ids"]).select("doc_id", F.col("best.keep_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.keep_uid")).alias("kept"), "text_sha256", "n_chars", F.col("n_chunks").cast("long").alias("n_chunks"))
-    alone = slim.join(repeated, F.col("signature") == F.col("s"), "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "n_chars", F.size("chunks").cast("long").alias("n_chunks"))
+    found = listed.join(groups, ["signature", "ids"]).select("doc_id", F.col("best.keep_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.keep_uid")).alias("kept"), "text_sha256", "n_chars", F.col("n_chunks").cast("long").alias("n_chunks"), F.col("uid").alias("row"))
+    alone = slim.join(repeated, F.col("signature") == F.col("s"), "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "n_chars", F.size("chunks").cast("long").alias("n_chunks"), F.col("uid").alias("row"))
     return alone.unionByName(found)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, packing, quality, sharding, simhash, substring_dedup, toxicity
+from . import exact_dedup, minhash, mixing, packing, quality, rollups, scratch, sharding, simhash, substring_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,17 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents enter with estimated counts; a second batch revises every one to its real counts; a retry of the first changes nothing."""
+    docs = _documents(spark, sf_dir)
+    store = rollups.Store(spark, scratch.new_path(spark, "rollups"))
+    estimated = rollups.estimate_tokens(docs)
+    store.commit("load", rollups.changes(None, estimated))
+    store.commit("count", rollups.changes(estimated, rollups.count_tokens(docs)))
+    store.commit("load", rollups.changes(None, estimated))
+    return store.totals()
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights 1, 2, 3 in turn, at most 3 copies."""
     mixed = mixing.mix(_documents(spark, sf_dir), weights=(1.0, 2.0, 3.0), cap=3.0)
@@ -66,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_fingerprints": op2_minhash_fingerprints,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_token_rollups": op5_token_rollups,
     "op6_mixing": op6_mixing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_toxicity": op8_toxicity,

@@ -64,23 +64,27 @@ def drop(*tables: DataFrame) -> None:
             fs.delete(p, True)
 
 
+def _place(df: DataFrame, name: str) -> DataFrame:
+    meta = df.metadataColumn("_metadata")
+    return df.withColumn(name, F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("place")))
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` as rows of Parquet files: itself, or what it is written to."""
+    try:
+        _place(docs, "_tessera_row").schema  # noqa: B018  resolves the plan
+        return docs
+    except AnalysisException:
+        return materialize(docs, "rows")
+
+
 def identified(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with a column that tells its rows apart and is the same at each scan.
 
     It is the Parquet file's hash and the row's place in it. Rows that come from no
     Parquet scan are written first.
     """
-
-    def place(df: DataFrame) -> DataFrame:
-        meta = df.metadataColumn("_metadata")
-        return df.withColumn(name, F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("place")))
-
-    try:
-        out = place(docs)
-        out.schema  # noqa: B018  resolves the plan
-        return out
-    except AnalysisException:
-        return place(materialize(docs, "rows"))
+    return _place(placed(docs), name)
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
