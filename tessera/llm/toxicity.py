@@ -46,7 +46,9 @@ class Settings:
     #: Symbols of the highest order, 2 to 8.
     order: int = 5
     #: Cells of each table of the model, as a power of two.
-    bits: int = 21
+    bits: int = 20
+    #: Labels are broadcast up to so many rows, about 20 bytes each; more are joined by a shuffle.
+    broadcast: int = 1_000_000
     #: Absolute discount of each order.
     discount: float = 0.75
     #: A word counts as an excess by what its log ratio is over this.
@@ -264,6 +266,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("toxic")).where("_id IS NOT NULL AND toxic IN (0, 1)")
     known = known.where(fold(F.col("_id")) != 0).groupBy("_id").agg(F.max("toxic").alias("toxic"))
+    known = scratch.materialize(known, "labels")
+    if known.count() <= s.broadcast:
+        known = F.broadcast(known)
     train = rows.where(fold(F.col("doc_id")).isin(1, 2, 3)).join(known, F.col("doc_id") == F.col("_id")).select("text", "toxic")
     compared = scratch.materialize(compare(rows, fit(train, s)), "figures")
     steps = [F.round(F.col(c) / step).alias(c) for c, step in GRID.items()]
