@@ -110,14 +110,14 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """doc_id, text and fp of each row, and next_text and next_fp of the row that follows by doc_id.
 
     After the last row comes the first; null doc_ids come first, and rows with one
-    doc_id follow each other by their text's hash. Rows are dealt by twice as many
-    ranges of doc_id as there are shuffle partitions, and the first rows of each
-    range are repeated at the end of the one before, so texts are shuffled once and
-    nothing is ordered in one task. Only one doc_id per range reaches the driver.
+    doc_id follow each other by their text's hash. Rows are dealt by eight times as
+    many ranges of doc_id as there are shuffle partitions, which evens out what each
+    partition gets, and the first rows of each range are repeated at the end of the
+    one before, so texts are shuffled once and nothing is ordered in one task. Only one doc_id per range reaches the driver.
     """
     spark = docs.sparkSession
     ids = docs.select(F.col(id_col).alias("doc_id"))
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts).alias("at")).first()["at"]
     bounds = sorted(set(at or []))
     steps = [1 << s for s in range(len(bounds).bit_length() - 1, -1, -1)] if bounds else []
