@@ -157,6 +157,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 1 <= anchor <= length:
         raise ValueError("anchor must be from 1 to length")
+    docs = scratch.placed(docs)
     slim = scratch.materialize(scan(docs, id_col, text_col, length, anchor), "runs")
     runs = slim.select("uid", "doc_id", F.inline(F.arrays_zip("anchor", "block", "begin", "n")))
 
@@ -176,7 +177,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates = scratch.materialize(per_row.join(text, "row").drop("row"), "candidates")
 
     windows = scratch.materialize(_hash_windows(candidates.where(F.size("check") > 0), length), "windows")
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
+    # Written, so that the join has two plain shuffles and can split a window that very many documents hold.
+    first = scratch.materialize(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held"), "first")
     hit = windows.join(first, ["h1", "h2"]).where(later).select("uid", F.struct("begin", F.lit(1).alias("n")).alias("run"))
     extra = hit.groupBy("uid").agg(F.collect_list("run").alias("extra"))
 
