@@ -5,7 +5,8 @@ add theirs: a host's share of good documents is drawn towards the global share,
 and a path's towards its host's, by as many pseudo-documents as the variance
 between hosts, or between the paths of a host, calls for (method of moments). A
 sparse site thus says what its parent says. A document's posterior odds are its
-likelihood ratio times the odds of its path, from which its own share is left out.
+likelihood ratio times the odds of its path, and its own share is left out of both
+path and host, so that it isn't counted twice.
 
 The corpus is scanned once for evidence; sites are partial sums, of which only the
 variance figures, one row per level, reach the driver.
@@ -204,10 +205,12 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     host_share = hosts.select("host", ((F.lit(hosts_by * share) + F.col("good")) / (hosts_by + F.col("n"))).alias("host_share"))
     sites = paths.join(host_share, "host")
     paths_by = _strength(sites, "host_share", within)
-    sites = sites.select("host", "path", "host_share", F.col("n").alias("_n"), F.col("good").alias("_good"))
+    whole = hosts.select("host", F.col("n").alias("_hn"), F.col("good").alias("_hgood"))
+    sites = sites.select("host", "path", "host_share", F.col("n").alias("_n"), F.col("good").alias("_good")).join(whole, "host")
 
-    # The row's own share is left out of its path, and the host's posterior stands for the rest.
-    path_share = (F.col("host_share") * paths_by + F.col("_good") - F.col("p")) / (paths_by + F.col("_n") - 1)
+    # The row's own share is left out of its path and of its host.
+    rest = (F.lit(hosts_by * share) + F.col("_hgood") - F.col("p")) / (hosts_by + F.col("_hn") - 1)
+    path_share = (rest * paths_by + F.col("_good") - F.col("p")) / (paths_by + F.col("_n") - 1)
     evidence = F.col("logit") - prior
     out = seen.join(sites, ["host", "path"]).withColumn("path_share", path_share)
     out = out.select("row", "doc_id", evidence.alias("evidence"), "host_share", "path_share", (1 / (1 + F.exp(-(evidence + _logit(F.col("path_share")))))).alias("posterior"))
