@@ -184,19 +184,21 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     neighbours, then itself and its smaller ones, below the smallest of them. Each
     round is a written table; the number of rounds is logarithmic in the longest
     chain. Neighbours are never gathered in one place: minima are partial
-    aggregates, and they come back by joins that Spark can split.
+    aggregates, written so that the joins that bring them back have two plain
+    shuffles and Spark can split a node with very many neighbours.
     """
     ordered = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     now, seen = scratch.materialize(ordered, "links"), None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = scratch.materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = scratch.materialize(large, "large")
+        least = scratch.materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.inline(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).where("u <> v").distinct()
         new = scratch.materialize(small, "links")
         got = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(now)
+        scratch.drop(now, low, large, least)
         now = new
         if tuple(got) == seen:
             break
