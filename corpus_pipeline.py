@@ -38,19 +38,19 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates, texts with four fifths of their five-word shingles in common, the document with the smallest doc_id stays."""
     docs = scratch.placed(docs)
-    grouped = simhash.near_groups(docs)
+    grouped = simhash.near_copies(docs, shingle=5, similarity=0.8)
     return _by_row(docs, scratch.materialize(grouped.where(~F.col("keeper")).select(F.col("row").alias("tessera_row")), "near"), "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document stands as often as the mixture takes it; those that it doesn't take go."""
     docs = scratch.placed(docs)
-    mixed = scratch.materialize(mixing.mix(docs).where("copies > 0").select(F.col("row").alias("tessera_row"), F.sequence(F.lit(1).cast("long"), F.col("copies")).alias("tessera_copies")), "copies")
+    mixed = scratch.materialize(mixing.mix(docs).where("copies > 0").select(F.col("row").alias("tessera_row"), F.col("copies").cast("int").alias("tessera_copies")), "copies")
     columns = docs.columns
     taken = _by_row(docs, mixed, "inner")
-    return taken.select(*[F.col(f"`{c}`") for c in columns], F.explode("tessera_copies").alias("tessera_copy")).drop("tessera_copy")
+    return taken.select(*[F.col(f"`{c}`") for c in columns], F.explode(F.sequence(F.lit(1), F.col("tessera_copies"))).alias("tessera_copy")).drop("tessera_copy")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
