@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.asof import asof_join
+from tessera.operators.contains import substring_join
 from tessera.operators.ranges import interval_join
 from tessera.tables import table, views
 
@@ -48,12 +49,13 @@ def star_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def time_range_join(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of a user's events, the second at most an hour later."""
-    e = table(spark, d, "events")
-    a = e.select("user_id", F.col("event_id").alias("first_id"), F.col("ts").alias("first_ts"))
-    b = e.select(F.col("user_id").alias("u2"), F.col("event_id").alias("second_id"), F.col("ts").alias("second_ts"))
-    near = (F.col("second_ts") > F.col("first_ts")) & (F.col("second_ts") <= F.expr("first_ts + INTERVAL 1 HOUR"))
-    return a.join(b, (F.col("user_id") == F.col("u2")) & near).select("user_id", "first_id", "second_id")
+    """Pairs of a user's events, the second at most an hour later; joined on user and hour, then compared."""
+    e = table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    first = e.select("user_id", F.col("event_id").alias("first_id"), F.col("us").alias("from_us"))
+    second = e.select("user_id", F.col("event_id").alias("second_id"), F.col("us").alias("second_us"))
+    hour = 3_600_000_000
+    found = interval_join(second, first, F.col("second_us"), F.col("from_us") + 1, F.col("from_us") + hour + 1, hour, ["user_id"])
+    return found.select("user_id", "first_id", "second_id")
 
 
 def bucketed_range_join(spark: SparkSession, d: str) -> DataFrame:
@@ -85,6 +87,13 @@ def subqueries(spark: SparkSession, d: str) -> DataFrame:
     """)
 
 
+def contained_names(spark: SparkSession, d: str) -> DataFrame:
+    """Parts whose name contains a type's name."""
+    parts = table(spark, d, "part").select("p_partkey", "p_name")
+    types = table(spark, d, "part").select(F.lower("p_type").alias("kind")).distinct()
+    return substring_join(parts, types, F.lower("p_name"), F.col("kind")).select("p_partkey", "kind")
+
+
 def recursive_cte(spark: SparkSession, d: str) -> DataFrame:
     """Nations by steps through keys that follow each other within a region."""
     views(spark, d, "nation")
@@ -98,7 +107,7 @@ def recursive_cte(spark: SparkSession, d: str) -> DataFrame:
     """)
 
 
-QUERIES = {f.__name__: f for f in (scan_filter_project, semi_join, anti_join, full_join, star_join, time_range_join, bucketed_range_join, asof_previous, subqueries, recursive_cte)}
+QUERIES = {f.__name__: f for f in (scan_filter_project, semi_join, anti_join, full_join, star_join, time_range_join, bucketed_range_join, asof_previous, subqueries, contained_names, recursive_cte)}
 ORACLE_SQL = {
     "scan_filter_project": "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_quantity < 10",
     "semi_join": "SELECT o_orderkey, o_orderdate FROM orders SEMI JOIN lineitem ON o_orderkey = l_orderkey",
@@ -128,6 +137,8 @@ ORACLE_SQL = {
         FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey,
              LATERAL (SELECT max(o_orderdate) AS latest FROM orders o WHERE o.o_custkey = c.c_custkey) last
         WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')""",
+    "contained_names": """
+        SELECT p_partkey, kind FROM part JOIN (SELECT DISTINCT lower(p_type) AS kind FROM part) ON contains(lower(p_name), kind)""",
     "recursive_cte": """
         WITH RECURSIVE walk(n_nationkey, n_regionkey, step) AS (
             SELECT n_nationkey, n_regionkey, 0 FROM nation WHERE n_nationkey < 5

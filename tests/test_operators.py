@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import ngrams, strip_html, tokens
 from tessera.functions.vectors import cosine
 from tessera.operators.asof import asof_join
+from tessera.operators.contains import substring_join
 from tessera.operators.nearest import nearest
 from tessera.operators.ranges import interval_join
 from tessera.operators.sessions import sessionize
@@ -40,6 +41,13 @@ def test_interval_join(spark):
     assert sorted((r["p"], r["i"]) for r in got.collect()) == sorted((p, i) for p, x in points for i, a, b in spans if a <= x < b)
 
 
+def test_substring_join(spark):
+    texts = spark.createDataFrame([(1, "abcabcab"), (2, "abc"), (3, None), (4, "xxbcabx")], "id int, t string")
+    patterns = spark.createDataFrame([("abca",), ("bcab",), ("zzzz",), ("ab",), (None,)], "p string")
+    got = substring_join(texts, patterns, F.col("t"), F.col("p"))
+    assert sorted((r["id"], r["p"]) for r in got.collect()) == [(1, "abca"), (1, "bcab"), (4, "bcab")]
+
+
 def test_nearest_breaks_ties_by_id(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0]), (5, None)], "id long, v array<double>")
     got = nearest(rows.where("id = 2"), rows, 2, "id", "v", query_block=1, row_block=2).collect()
