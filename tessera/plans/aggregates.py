@@ -51,12 +51,12 @@ def distinct_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def percentiles(spark: SparkSession, d: str) -> DataFrame:
     """A5"""
-    return table(spark, d, "customer").groupBy("c_mktsegment").agg(F.percentile("c_acctbal", F.lit(0.25)).alias("q1"), F.median("c_acctbal").alias("median"), F.percentile("c_acctbal", F.lit(0.9)).alias("p90"), F.mode("c_nationkey", True).alias("nation"))
+    return table(spark, d, "customer").groupBy("c_mktsegment").agg(*[F.round(F.percentile("c_acctbal", F.lit(q)), 4).alias(n) for n, q in (("q1", 0.25), ("median", 0.5), ("p90", 0.9))], F.mode("c_nationkey", True).alias("nation"))
 
 
 def moments(spark: SparkSession, d: str) -> DataFrame:
     """A6"""
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(*[F.round(x, 6).alias(n) for n, x in (("var_qty", F.var_pop("l_quantity")), ("sd_tax", F.stddev_samp("l_tax")), ("corr_qp", F.corr("l_quantity", "l_extendedprice")), ("covar_dt", F.covar_samp("l_discount", "l_tax")))])
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(*[(F.round(x, 6) + 0.0).alias(n) for n, x in (("var_qty", F.var_pop("l_quantity")), ("sd_tax", F.stddev_samp("l_tax")), ("corr_qp", F.corr("l_quantity", "l_extendedprice")), ("covar_dt", F.covar_samp("l_discount", "l_tax")))])
 
 
 def shape(spark: SparkSession, d: str) -> DataFrame:
@@ -136,12 +136,12 @@ ORACLE_SQL = {
     "distinct_counts": "SELECT l_suppkey, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_orderkey) AS orders, count(*) AS n FROM lineitem GROUP BY 1",
     "percentiles": """
         SELECT s.c_mktsegment, q1, median, p90, nation FROM
-            (SELECT c_mktsegment, quantile_cont(c_acctbal, 0.25) AS q1, median(c_acctbal) AS median, quantile_cont(c_acctbal, 0.9) AS p90 FROM customer GROUP BY 1) s
+            (SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.25), 4) AS q1, round(median(c_acctbal), 4) AS median, round(quantile_cont(c_acctbal, 0.9), 4) AS p90 FROM customer GROUP BY 1) s
         JOIN (SELECT c_mktsegment, arg_min(c_nationkey, (-n, c_nationkey)) AS nation
               FROM (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY 1, 2) GROUP BY 1) m USING (c_mktsegment)""",
     "moments": """
-        SELECT l_returnflag, round(var_pop(l_quantity), 6) AS var_qty, round(stddev_samp(l_tax), 6) AS sd_tax,
-               round(corr(l_quantity, l_extendedprice), 6) AS corr_qp, round(covar_samp(l_discount, l_tax), 6) AS covar_dt FROM lineitem GROUP BY 1""",
+        SELECT l_returnflag, round(var_pop(l_quantity), 6) + 0.0 AS var_qty, round(stddev_samp(l_tax), 6) + 0.0 AS sd_tax,
+               round(corr(l_quantity, l_extendedprice), 6) + 0.0 AS corr_qp, round(covar_samp(l_discount, l_tax), 6) + 0.0 AS covar_dt FROM lineitem GROUP BY 1""",
     "shape": """
         SELECT e.event_type, round(avg(pow(value - m, 3)) / pow(avg(pow(value - m, 2)), 1.5), 6) AS skew,
                round(avg(pow(value - m, 4)) / pow(avg(pow(value - m, 2)), 2) - 3, 6) AS kurt
