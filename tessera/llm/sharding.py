@@ -87,3 +87,15 @@ def assign(docs: DataFrame, tree: list[tuple[str, str, int, float]], grown: list
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
     rows = rows.select("doc_id", "size", "text_crc32", shard, (_descend(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"))
     return ranks.positions(rows, ids, ["shard"], ["doc_id"], ["doc_id", "text_crc32", "size"], parts, "slot")
+
+
+def place(docs: DataFrame, tree: list[tuple[str, str, int, float]], id_col: str = "doc_id", out: str = "shard") -> DataFrame:
+    """``docs`` with each row's shard; a map, without a shuffle."""
+    return docs.withColumn(out, _descend(F.col(id_col), tree))
+
+
+def write(docs: DataFrame, path: str, tree: list[tuple[str, str, int, float]], files: int = 8, id_col: str = "doc_id") -> None:
+    """Parquet files of each shard below ``path/shard=N``, about ``files`` of them, dealt by a hash of the key."""
+    placed = place(docs, tree, id_col)
+    n = len(tree) * files
+    placed.repartition(n, F.col("shard"), ranks.spread(files, id_col)).write.partitionBy("shard").parquet(path)

@@ -146,8 +146,8 @@ def _keep(marked: DataFrame, length: int) -> DataFrame:
     return scratch.map_arrow(marked.select("uid", "n_words", "text", "runs"), read, "uid long, n_words long, n_removed long, kept_sha256 string, spans array<struct<begin: int, end: int>>")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, anchor: int = 12) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and spans of each row.
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, anchor: int = 12, rows: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and spans of each row; with ``rows``, its place as well.
 
     spans: the maximal stretches of words (begin, end) whose windows of ``length``
     words all also start in a document with a smaller doc_id; those words are
@@ -185,4 +185,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     none = F.array().cast("array<struct<begin: int, n: int>>")
     marked = candidates.join(extra, "uid", "left").select("uid", "n_words", "text", F.concat("sure", F.coalesce("extra", none)).alias("runs")).where(F.size("runs") > 0)
     cut = _keep(marked, length).drop("n_words")
-    return plain.join(cut, "uid", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<struct<begin: int, end: int>>")).alias("spans"))
+    return plain.join(cut, "uid", "left").select(*["row"] * rows, "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<struct<begin: int, end: int>>")).alias("spans"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, anchor: int = 12) -> DataFrame:
+    """``docs`` with the repeated words taken out of their texts, and the rest joined by single spaces.
+
+    A text without repeated words stays as it is; one of which all words are
+    repeated becomes empty.
+    """
+    docs = scratch.placed(docs)
+    found = substring_dedup(docs, id_col, text_col, length, anchor, rows=True).where("n_removed > 0").select(F.col("row").alias("_tessera_row"), F.col("spans").alias("_tessera_spans"))
+    joined = scratch.identified(docs, "_tessera_row").join(found, "_tessera_row", "left")
+    tokens = F.split(F.btrim(F.col(text_col), F.lit(texts.SEPARATORS.decode())), texts.WORDS_SPLIT)
+    kept = F.filter(tokens, lambda w, i: ~F.exists(F.col("_tessera_spans"), lambda s: (s["begin"] <= i) & (i < s["end"])))
+    cut = F.when(F.col("_tessera_spans").isNull(), F.col(text_col)).otherwise(F.concat_ws(" ", kept))
+    return joined.withColumn(text_col, cut).select(*[F.col(f"`{c}`") for c in docs.columns])

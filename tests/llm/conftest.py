@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: A clash with every name that an operator could use for itself.
-EXTRA = ["uid", "row", "fp", "n", "key", "size", "_metadata", "value", "shard", "slot", "begin", "p"]
+EXTRA = ["uid", "row", "fp", "n", "key", "size", "_metadata", "value", "slot", "begin", "p"]
 
 
 @pytest.fixture(scope="session")

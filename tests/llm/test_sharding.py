@@ -67,3 +67,12 @@ def test_hard_rows(docs_of, corpus):
 def test_plan_is_native(spark):
     plan = queries.op9_sharding(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_files(docs_of, corpus, spark, tmp_path):
+    tree = sharding.topology(5)
+    docs = docs_of(corpus)
+    sharding.write(docs, f"{tmp_path}/out", tree, files=2)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    want = Counter((r["doc_id"], r["text"], r["shard"]) for r in sharding.place(docs, tree).collect())
+    assert Counter((r["doc_id"], r["text"], r["shard"]) for r in back.collect()) == want

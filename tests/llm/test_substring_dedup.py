@@ -54,3 +54,13 @@ def test_empty(docs_of):
 
 def test_sql(spark):
     compare(queries.op3_substring_dedup(spark, SF), connect(SF), queries.ORACLE_SQL["op3_substring_dedup"])
+
+
+def test_texts(docs_of):
+    """Texts with repeats lose them, all others and all other columns stay."""
+    p = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"a  b {p}\nc"), (2, p), (3, f"x {p} y"), (4, "as  it\tis "), (5, None), (5, p)]
+    docs = docs_of(rows)
+    got = substring_dedup.remove_repeats(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, rows[0][1]), (2, ""), (3, "x y"), (4, rows[3][1]), (5, None), (5, "")], key=str)
