@@ -117,7 +117,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     listed = scratch.materialize(listed, "lists")
 
     best = F.min(F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("keep_id"), F.col("uid").alias("keep_uid")))
-    groups = listed.groupBy("signature", "ids").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    groups = scratch.materialize(listed.groupBy("signature", "ids").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
     found = listed.join(groups, ["signature", "ids"]).select("doc_id", F.col("best.keep_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.keep_uid")).alias("kept"), "text_sha256", "n_chars", F.col("n_chunks").cast("long").alias("n_chunks"), F.col("uid").alias("row"))
     alone = slim.join(repeated, F.col("signature") == F.col("s"), "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "n_chars", F.size("chunks").cast("long").alias("n_chunks"), F.col("uid").alias("row"))
     return alone.unionByName(found)
