@@ -174,7 +174,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plain = slim.select("uid", "row", "doc_id", "n_words", "sha")
     per_row = per_row.join(plain.select("uid", "row", "doc_id", "n_words"), "uid")
     text = scratch.identified(docs, "_tessera_row").select(F.col("_tessera_row").alias("row"), F.col(text_col).alias("text"))
-    candidates = scratch.materialize(per_row.join(text, "row").drop("row"), "candidates")
+    # Texts are shuffled but not sorted: the lists are the side that is hashed.
+    candidates = scratch.materialize(text.join(per_row.hint("shuffle_hash"), "row").drop("row"), "candidates")
 
     windows = scratch.materialize(_hash_windows(candidates.where(F.size("check") > 0), length), "windows")
     # Written, so that the join has two plain shuffles and can split a window that very many documents hold.
@@ -183,7 +184,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     extra = hit.groupBy("uid").agg(F.collect_list("run").alias("extra"))
 
     none = F.array().cast("array<struct<begin: int, n: int>>")
-    marked = candidates.join(extra, "uid", "left").select("uid", "n_words", "text", F.concat("sure", F.coalesce("extra", none)).alias("runs")).where(F.size("runs") > 0)
+    marked = candidates.join(extra.hint("shuffle_hash"), "uid", "left").select("uid", "n_words", "text", F.concat("sure", F.coalesce("extra", none)).alias("runs")).where(F.size("runs") > 0)
     cut = _keep(marked, length).drop("n_words")
     return plain.join(cut, "uid", "left").select(*["row"] * rows, "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<struct<begin: int, end: int>>")).alias("spans"))
 
