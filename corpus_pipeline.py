@@ -19,7 +19,8 @@ def _by_row(docs: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
     """``docs`` joined with rows of ``decisions`` (tessera_row and what else) on the row's place in its file."""
     few = decisions.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     placed = scratch.identified(docs, "tessera_row")
-    return placed.join(F.broadcast(decisions) if few else decisions, "tessera_row", how).drop("tessera_row")
+    # Beyond that, decisions are the side that is hashed, so that texts are not sorted.
+    return placed.join(F.broadcast(decisions) if few else decisions.hint("shuffle_hash"), "tessera_row", how).drop("tessera_row")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,9 +72,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again by the next."""
+    """All stages over documents, each written as Parquet and read again by the next.
+
+    What a stage wrote on its way is deleted once its result is written, and that
+    once the next stage's is.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = out if i == len(STAGES) - 1 else scratch.materialize(out, f"stage-{i}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before = scratch.mark()
+        out = scratch.materialize(stage(spark, docs, sf_dir), f"stage-{i}")
+        scratch.release(before, out)
+        scratch.drop(docs)
+        docs = out
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -39,11 +39,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables written by this process, in order.
+_written: list[tuple[SparkSession, str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as a plain scan."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
@@ -64,6 +69,20 @@ def drop(*tables: DataFrame) -> None:
             fs.delete(p, True)
 
 
+def mark() -> int:
+    """How many tables have been written so far."""
+    return len(_written)
+
+
+def release(since: int, *keep: DataFrame) -> None:
+    """Delete all tables written after ``mark`` gave ``since``, but those of ``keep``."""
+    kept = {getattr(t, "_tessera_path", None) for t in keep}
+    for spark, path in [w for w in _written[since:] if w[1] not in kept]:
+        fs, p = filesystem(spark, path)
+        fs.delete(p, True)
+    _written[since:] = [w for w in _written[since:] if w[1] in kept]
+
+
 def _place(df: DataFrame, name: str) -> DataFrame:
     meta = df.metadataColumn("_metadata")
     return df.withColumn(name, F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("place")))
