@@ -267,8 +267,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("toxic")).where("_id IS NOT NULL AND toxic IN (0, 1)")
     known = known.where(fold(F.col("_id")) != 0).groupBy("_id").agg(F.max("toxic").alias("toxic"))
     known = scratch.materialize(known, "labels")
-    if known.count() <= s.broadcast:
-        known = F.broadcast(known)
+    known = F.broadcast(known) if known.count() <= s.broadcast else known.hint("shuffle_hash")
     train = rows.where(fold(F.col("doc_id")).isin(1, 2, 3)).join(known, F.col("doc_id") == F.col("_id")).select("text", "toxic")
     compared = scratch.materialize(compare(rows, fit(train, s)), "figures")
     steps = [F.round(F.col(c) / step).alias(c) for c, step in GRID.items()]
