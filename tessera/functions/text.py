@@ -16,9 +16,14 @@ def tokens(text: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """Runs of ``n`` words, joined by spaces."""
-    count = F.size(words) - n + 1
-    runs = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(count >= 1, runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        count = F.size(w) - n + 1
+        joined = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(count >= 1, joined).otherwise(F.array().cast("array<string>"))
+
+    # As a variable of a lambda, the words are made once and not for every run.
+    return F.transform(F.array(words), runs)[0]
 
 
 def strip_html(html: Column) -> Column:
