@@ -90,7 +90,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mea
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = scratch.identified(docs, "_tessera_row").select(F.col("_tessera_row").alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return scratch.map_arrow(rows, cut, f"uid struct<file: long, place: long>, doc_id {kind}, n_chars long, text_sha256 string, signature long, chunks array<struct<h: long, digest: binary, length: int>>")
+    return scratch.map_arrow(scratch.spread(rows), cut, f"uid struct<file: long, place: long>, doc_id {kind}, n_chars long, text_sha256 string, signature long, chunks array<struct<h: long, digest: binary, length: int>>")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **cutting: int) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import texts
+from . import scratch, texts
 
 BINS, BITS, SHINGLE = 256, 4, 5
 #: Draws of an empty bin before it ranks all bins that have a value.
@@ -130,7 +130,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         search = F.aggregate(F.lit(steps), F.lit(0), lambda p, s: F.when((p + s <= len(bounds)) & (F.get(limit, p + s - 1) <= c), p + s).otherwise(p))
         return F.when(c.isNull(), 0).otherwise(search)
 
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = scratch.spread(docs.select(F.col(id_col), F.col(text_col))).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     heads = ids.select("doc_id", dealt(F.col("doc_id")).alias("range")).groupBy("range").agg(F.min(F.struct("doc_id")).alias("head")).orderBy("range").collect()
     own = base.select("doc_id", "text", dealt(F.col("doc_id")).alias("range"), F.lit(0).alias("ghost"))
     if heads:

@@ -113,7 +113,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), cap: float
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = F.coalesce(F.col(text_col), F.lit(""))
     source = F.col(source_col).cast("string")
-    slim = scratch.identified(docs, "_tessera_row").select(
+    rows = scratch.spread(scratch.identified(docs, "_tessera_row").select("_tessera_row", id_col, text_col, source_col))
+    slim = rows.select(
         F.col("_tessera_row").alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("key"), word_count(F.col(text_col)).alias("size"), F.xxhash64(body).alias("draw")
     )
     slim = scratch.materialize(slim.withColumn("sub", ranks.spread(parts, "doc_id", "draw")), "sizes")

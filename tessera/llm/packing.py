@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return scratch.map_arrow(rows, cut, f"row long, doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return scratch.map_arrow(scratch.spread(rows), cut, f"row long, doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(docs: DataFrame, parts: int | None = None, **options) -> DataFrame:

@@ -192,7 +192,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.concatenate(got) if got else np.zeros(0))], ["row", "doc_id", "host", "path", "logit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    seen = scratch.map_arrow(rows, read, f"row struct<file: long, place: long>, doc_id {kind}, host string, path string, logit double")
+    seen = scratch.map_arrow(scratch.spread(rows), read, f"row struct<file: long, place: long>, doc_id {kind}, host string, path string, logit double")
     seen = scratch.materialize(seen.withColumn("p", 1 / (1 + F.exp(-F.col("logit")))), "evidence")
 
     paths = scratch.materialize(seen.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("good"), F.sum(F.col("p") * F.col("p")).alias("squares")), "paths")

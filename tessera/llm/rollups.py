@@ -146,7 +146,7 @@ def count_tokens(docs: DataFrame, tokenizers: Sequence[str] = ("byte_bpe_50k", "
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t] * len(n), pa.string()), pa.array(n, pa.int64())], ["source", "lang", "tokenizer", "tokens"])
 
     rows = docs.select(F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    return scratch.map_arrow(rows, read, "source string, lang string, tokenizer string, tokens long")
+    return scratch.map_arrow(scratch.spread(rows), read, "source string, lang string, tokenizer string, tokens long")
 
 
 def estimate_tokens(docs: DataFrame, tokenizers: Sequence[str] = ("byte_bpe_50k", "words"), per_token: float = 4.0, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:

@@ -106,6 +106,19 @@ def identified(docs: DataFrame, name: str) -> DataFrame:
     return _place(placed(docs), name)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over as many partitions as there are cores, at least.
+
+    Only a scan of few splits, such as one file of one row group, is dealt anew. What
+    has a shuffle of its own is left alone; asking for its partitions would run it.
+    """
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "AdaptiveSparkPlan" in plan:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow``, with this package on the path of Python workers on the same file system.
 

@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = scratch.identified(docs, "_tessera_row").select(F.col("_tessera_row").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return scratch.map_arrow(rows, compute, f"row struct<file: long, place: long>, doc_id {kind}, fp long")
+    return scratch.map_arrow(scratch.spread(rows), compute, f"row struct<file: long, place: long>, doc_id {kind}, fp long")
 
 
 class _Forest:
@@ -290,7 +290,7 @@ def word_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = scratch.identified(docs, "_tessera_row").select(F.col("_tessera_row").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return scratch.map_arrow(rows, compute, f"row struct<file: long, place: long>, doc_id {kind}, prints array<long>, sketch binary, twin binary")
+    return scratch.map_arrow(scratch.spread(rows), compute, f"row struct<file: long, place: long>, doc_id {kind}, prints array<long>, sketch binary, twin binary")
 
 
 def sketch_likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:

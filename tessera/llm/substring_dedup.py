@@ -86,7 +86,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, length: int, anchor: int)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = scratch.identified(docs, "_tessera_row").select(F.monotonically_increasing_id().alias("uid"), F.col("_tessera_row").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return scratch.map_arrow(rows, read, f"uid long, row struct<file: long, place: long>, doc_id {kind}, n_words long, sha string, anchor array<long>, block array<long>, begin array<int>, n array<int>")
+    return scratch.map_arrow(scratch.spread(rows), read, f"uid long, row struct<file: long, place: long>, doc_id {kind}, n_words long, sha string, anchor array<long>, block array<long>, begin array<int>, n array<int>")
 
 
 def _hash_windows(checked: DataFrame, length: int) -> DataFrame:

@@ -263,7 +263,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     whatever their names, are not read.
     """
     s = settings or Settings()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = scratch.spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("toxic")).where("_id IS NOT NULL AND toxic IN (0, 1)")
     known = known.where(fold(F.col("_id")) != 0).groupBy("_id").agg(F.max("toxic").alias("toxic"))
     known = scratch.materialize(known, "labels")
