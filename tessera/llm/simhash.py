@@ -9,11 +9,14 @@ trie is built once per block with that block's bits first, and each subtree belo
 them is a task's work. A task returns a spanning forest of the links it found,
 not the links, so a dense group of n fingerprints costs n rows. The forests are
 joined by alternating star contractions in written tables.
+
+``near_copies``, for texts whose shingles are alike, has other candidates: rows with
+an equal band of one-permutation MinHash values of their shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -110,12 +113,8 @@ def _leaves(v: np.ndarray, pairs: np.ndarray, budget: int) -> Iterator[tuple[np.
         yield i[near], j[near]
 
 
-def trie_links(v: np.ndarray, top: int, budget: int, settled: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of indices into ``v`` (sorted) with equal ``top`` first bits and at most ``budget`` different ones.
-
-    settled: which node pairs (columns: first node's range, second's) have nothing
-    more to tell; those are pruned too. It is asked again at every step.
-    """
+def trie_links(v: np.ndarray, top: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of indices into ``v`` (sorted) with equal ``top`` first bits and at most ``budget`` different ones."""
     if len(v) < 2:
         return
     edge = np.flatnonzero(np.diff(v >> np.uint64(64 - top), prepend=~v[:1])) if top else np.zeros(1, np.int64)
@@ -127,8 +126,6 @@ def trie_links(v: np.ndarray, top: int, budget: int, settled: Callable[[np.ndarr
         same = nodes[:, 0] == nodes[:, 2]
         na, nb = nodes[:, 1] - nodes[:, 0], nodes[:, 3] - nodes[:, 2]
         nodes = nodes[(na > 0) & (nb > 0) & (nodes[:, 4] <= budget) & ~(same & (na < 2))]
-        if settled is not None and len(nodes):
-            nodes = nodes[~settled(nodes)]
         small = ((nodes[:, 1] - nodes[:, 0]) * (nodes[:, 3] - nodes[:, 2]) <= _OUTRIGHT) | (depth >= 64)
         yield from _leaves(v, nodes[small], budget)
         nodes = nodes[~small]
@@ -235,40 +232,49 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(table, "fp").select("row", "doc_id", "fp", F.col("best.id").alias("component_id"), (F.col("row") == F.col("best.row")).alias("keeper"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"))
 
 
-def _uniform(marks: np.ndarray) -> np.ndarray:
-    """Changes of ``marks`` up to each place, to ask whether a range has one mark."""
-    return np.concatenate(([0], np.cumsum(marks[1:] != marks[:-1])))
-
+def _filled(low: np.ndarray, full: np.ndarray, tries: int = 16) -> np.ndarray:
+    """Each row's ``low`` with bins that are not ``full`` taken from full ones, by the same trials in all rows.
 
-def word_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seeds: int = 4, bins: int = 256) -> DataFrame:
+    A bin asks ``tries`` bins by hash, then the next full one after a last hash, so
+    two rows agree in any bin with a chance of their likeness. Rows without a full
+    bin stay as they are.
+    """
+    rows, bins = low.shape
+    out, has = low.copy(), full.any(axis=1)
+    at = np.flatnonzero(~full & has[:, None])
+    for t in range(tries + 1):
+        if not len(at):
+            return out
+        row, place = at // bins, at % bins
+        asked = (texts.mix64(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(t + 1)) % np.uint64(bins)).astype(np.int64)
+        if t == tries:
+            # The next full bin at or after each place, round the row.
+            after = np.where(np.tile(full, 2), np.arange(2 * bins), 2 * bins)
+            after = np.minimum.accumulate(after[:, ::-1], axis=1)[:, ::-1] % bins
+            asked = after[row, asked]
+        good = full[row, asked]
+        out.ravel()[at[good]] = low[row[good], asked[good]]
+        at = at[~good]
+    return out
+
+
+def shingle_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bins: int = 256, band: int = 8) -> DataFrame:
     """row, doc_id, prints, sketch and twin of each row.
 
-    prints: a SimHash of the text's different lower-cased words for each seed.
-    sketch: its shingles' smallest hashes by bin, a byte each, 0 for an empty bin.
-    twin: a 128-bit hash of both.
+    The smallest hash of the text's shingles is taken in each of ``bins`` bins.
+    prints: a hash of each ``band`` bins, empty ones filled from others.
+    sketch: a byte of each bin, 0 for an empty one.
+    twin: a 128-bit hash of all bins.
     """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lower = np.frombuffer(_LOWER, np.uint8)
-        salts = [np.uint64(0x9E3779B97F4A7C15 * (2 * s + 1) % 2**64) for s in range(seeds)]
         for batch in batches:
             for lo, hi, data, offsets in texts.blocks(batch.column(2), 1 << 19):
                 n_docs, data = hi - lo, lower[data]
                 starts, ends, first = texts.words(data, offsets)
                 h, n = texts.word_hashes(data, starts, ends), np.diff(first)
                 doc = np.repeat(np.arange(n_docs), n)
-                order = np.lexsort((h, doc))
-                new = np.ones(len(h), bool)
-                new[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-                kinds, of = h[order][new], doc[order][new]
-                count = np.bincount(of, minlength=n_docs)
-                full = np.flatnonzero(count)
-                at = (np.cumsum(count) - count)[full]
-                prints = np.zeros((n_docs, seeds), np.uint64)
-                for s, salt in enumerate(salts if len(full) else ()):
-                    bits = np.unpackbits(texts.mix64(kinds + salt).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-                    ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-                    prints[full, s] = np.packbits(2 * ones > count[full, None], axis=1).view(">u8").ravel()
 
                 # Shingles inside one text; a text of fewer words is one shingle.
                 begin = np.flatnonzero(np.arange(len(h)) + shingle <= first[1:][doc]) if len(h) else np.zeros(0, np.int64)
@@ -280,12 +286,19 @@ def word_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 order = np.lexsort((value, place))
                 lead = np.ones(len(order), bool)
                 lead[1:] = place[order][1:] != place[order][:-1]
-                sketch = np.zeros(n_docs * bins, np.uint8)
-                sketch[place[order][lead]] = 1 + (value[order][lead] >> np.uint64(40)) % np.uint64(255)
-                sketch = sketch.reshape(n_docs, bins)
+                at, least = place[order][lead], value[order][lead]
+                low, full, sketch = np.zeros(n_docs * bins, np.uint64), np.zeros(n_docs * bins, bool), np.zeros(n_docs * bins, np.uint8)
+                low[at], full[at] = least, True
+                sketch[at] = 1 + (least >> np.uint64(40)) % np.uint64(255)
+                low, full, sketch = (x.reshape(n_docs, bins) for x in (low, full, sketch))
+                prints = np.zeros((n_docs, bins // band), np.uint64)
+                for at in range(0, n_docs, 512):  # short texts are many in a block
+                    banded = _filled(low[at : at + 512], full[at : at + 512]).reshape(-1, bins // band, band)
+                    for i in range(band):
+                        prints[at : at + 512] = texts.mix64(prints[at : at + 512] * np.uint64(0x9E3779B97F4A7C15) + banded[:, :, i])
                 packed = [sketch[i].tobytes() for i in range(n_docs)]
-                twins = [xxhash.xxh3_128_digest(prints[i].tobytes() + packed[i]) for i in range(n_docs)]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n_docs + 1, dtype=np.int32) * seeds), pa.array(prints.view(np.int64).ravel()))
+                twins = [xxhash.xxh3_128_digest(low[i].tobytes()) for i in range(n_docs)]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n_docs + 1, dtype=np.int32) * (bins // band)), pa.array(prints.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n_docs), batch.column(1).slice(lo, n_docs), lists, pa.array(packed, pa.binary()), pa.array(twins, pa.binary())], ["row", "doc_id", "prints", "sketch", "twin"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -300,112 +313,96 @@ def sketch_likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(either > 0, (share - 1 / 255) / (1 - 1 / 255), 1.0)
 
 
-def _turned(prints: str, seeds: int, budget: int) -> tuple[list, list[int], list[int]]:
-    """A struct (s: seed and block, t: the print with that block first) for each; the blocks' first bits and widths."""
-    blocks = budget + 1
-    first = [64 * b // blocks for b in range(blocks + 1)]
-    turned = []
-    for s in range(seeds):
-        fp = F.get(F.col(prints), s)
-        for b in range(blocks):
-            t = fp if not first[b] else F.shiftleft(fp, first[b]).bitwiseOR(F.shiftrightunsigned(fp, 64 - first[b]))
-            turned.append(F.struct(F.lit(s * blocks + b).alias("s"), t.alias("t")))
-    return turned, first[:-1], [first[b + 1] - first[b] for b in range(blocks)]
-
-
-def _dealt(nodes: DataFrame, seeds: int, budget: int, parts: int, *more: str) -> DataFrame:
-    turned, _, widths = _turned("prints", seeds, budget)
-    rows = nodes.select("node", *more, F.inline(F.array(*turned)))
-    return rows.repartition(parts, F.col("s"), F.shiftrightunsigned("t", 64 - min(widths))).select("node", "s", "t", *more)
-
-
-def _near_something(nodes: DataFrame, seeds: int, budget: int, parts: int) -> DataFrame:
-    """node of all that have another within the budget, by any seed."""
-    widths = _turned("prints", seeds, budget)[2]
+def _shared(nodes: DataFrame, parts: int) -> DataFrame:
+    """node, s and t: the places and values of prints that two nodes or more have."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[b.column(i).to_numpy() for i in range(3)] for b in batches]
         if not got:
             return
-        node, table, turn = (np.concatenate(x) for x in zip(*got, strict=True))
-        out = []
-        for s in np.unique(table).tolist():
-            mine = table == s
-            v, index, n = np.unique(turn[mine].view(np.uint64), return_inverse=True, return_counts=True)
-            near = n > 1
+        node, s, t = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((t, s))
+        same = (s[order][1:] == s[order][:-1]) & (t[order][1:] == t[order][:-1])
+        several = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+        yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (node, s, t)], ["node", "s", "t"])
 
-            def known(p: np.ndarray, near=near) -> np.ndarray:
-                missing = np.concatenate(([0], np.cumsum(~near)))
-                return (missing[p[:, 1]] == missing[p[:, 0]]) & (missing[p[:, 3]] == missing[p[:, 2]])
+    rows = nodes.select("node", F.posexplode("prints").alias("s", "t"))
+    return scratch.map_arrow(rows.repartition(parts, "s", "t"), mark, "node long, s int, t long")
 
-            for a, b in trie_links(v, widths[s % len(widths)], budget, known):
-                near[a] = True
-                near[b] = True
-            out.append(node[mine][near[index]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], ["node"])
 
-    return scratch.map_arrow(_dealt(nodes, seeds, budget, parts), mark, "node long").distinct()
+def _join_run(run: np.ndarray, sketch: np.ndarray, forest: _Forest, similarity: float, held: int) -> None:
+    """Link all alike of ``run``. Every pair is compared but those that are joined by then.
+
+    Of two nodes that stay apart at least one is outside the largest group, so it is
+    enough that each of those was compared with all that it isn't joined with.
+    """
+    tried = np.zeros(len(run), bool)
+    while True:
+        _, group, size = np.unique(forest.root[run], return_inverse=True, return_counts=True)
+        left = np.flatnonzero((group != size.argmax()) & ~tried)
+        if not len(left):
+            return
+        tried[left[0]] = True
+        others = run[group != group[left[0]]]
+        for at in range(0, len(others), held):
+            y = others[at : at + held]
+            y = y[sketch_likeness(sketch[run[left[0]]][None], sketch[y]) >= similarity]
+            forest.link(np.full(len(y), run[left[0]]), y)
 
 
-def _verified_links(nodes: DataFrame, seeds: int, budget: int, similarity: float, parts: int) -> DataFrame:
-    """Spanning forests (u, v), one per task, of links within the budget whose sketches are alike."""
-    widths = _turned("prints", seeds, budget)[2]
-    held = 1 << 15
+def _verified_links(shared: DataFrame, similarity: float, parts: int) -> DataFrame:
+    """Spanning forests (u, v), one per task, of links between nodes with an equal print whose sketches are alike."""
+    held, few = 1 << 13, 8
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(*(b.column(i).to_numpy() for i in range(3)), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, -1)) for b in batches if b.num_rows]
         if not got:
             return
-        node, table, turn, sketch = (np.concatenate(x) for x in zip(*got, strict=True))
+        node, s, t, sketch = (np.concatenate(x) for x in zip(*got, strict=True))
         known, where, index = np.unique(node, return_index=True, return_inverse=True)
         sketch = sketch[where]
         forest = _Forest(len(known))
-        for most in sorted({min(1, budget), budget}):  # close pairs first: what they join needs no more comparing
-            for s in np.unique(table).tolist():
-                mine = np.flatnonzero(table == s)
-                mine = mine[np.argsort(turn[mine].view(np.uint64), kind="stable")]
-                v, who = turn[mine].view(np.uint64), index[mine]
-
-                def joined(p: np.ndarray, who=who) -> np.ndarray:
-                    marks = forest.root[who]
-                    change = _uniform(marks)
-                    one = (change[p[:, 1] - 1] == change[p[:, 0]]) & (change[p[:, 3] - 1] == change[p[:, 2]])
-                    return one & (marks[p[:, 0]] == marks[p[:, 2]])
-
-                for a, b in trie_links(v, widths[s % len(widths)], most, joined):
-                    a, b = who[a], who[b]
-                    for at in range(0, len(a), held):
-                        x, y = a[at : at + held], b[at : at + held]
-                        apart = forest.root[x] != forest.root[y]
-                        x, y = x[apart], y[apart]
-                        alike = sketch_likeness(sketch[x], sketch[y]) >= similarity
-                        forest.link(x[alike], y[alike])
+        order = np.lexsort((t, s))
+        s, t, who = s[order], t[order], index[order]
+        edge = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (t[1:] != t[:-1]))))
+        ends = np.append(edge[1:], len(who))
+        # Pairs of short runs all at once, by their distance in the run.
+        run_end = np.repeat(np.where(ends - edge <= few, ends, 0), ends - edge)
+        for step in range(1, few):
+            x = np.flatnonzero(np.arange(len(who)) + step < run_end)
+            for at in range(0, len(x), held):
+                a, b = who[x[at : at + held]], who[x[at : at + held] + step]
+                apart = forest.root[a] != forest.root[b]
+                a, b = a[apart], b[apart]
+                alike = sketch_likeness(sketch[a], sketch[b]) >= similarity
+                forest.link(a[alike], b[alike])
+        for a, b in zip(edge[ends - edge > few].tolist(), ends[ends - edge > few].tolist(), strict=True):
+            _join_run(who[a:b], sketch, forest, similarity, held)
         moved = np.flatnonzero(forest.root != np.arange(len(known)))
         yield pa.RecordBatch.from_arrays([pa.array(known[moved]), pa.array(known[forest.root[moved]])], ["u", "v"])
 
-    return scratch.map_arrow(_dealt(nodes, seeds, budget, parts, "sketch"), join, "u long, v long")
+    return scratch.map_arrow(shared.repartition(parts, "s", "t").select("node", "s", "t", "sketch"), join, "u long, v long")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: int = 4, budget: int = 4, bins: int = 256) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bins: int = 256, band: int = 8) -> DataFrame:
     """row, doc_id, component_id and keeper of each row, for texts whose shingles are alike.
 
-    One 64-bit fingerprint of shingles misses most pairs at a likeness of 0.8, whose
-    bits differ by about ten. So the trie self-join runs on fingerprints of the words,
-    which differ far less, under several seeds; rows within the budget of another by
-    any seed are kept for a second join, which links those whose sketches of shingles
-    have at least ``similarity``. Both prune node pairs that can add nothing, so a
-    dense group is not compared pair by pair. component_id, keeper, nulls, empty
-    texts, repeated rows and empty tables are as in near_groups.
+    One 64-bit fingerprint misses most pairs at a likeness of 0.8, and fingerprints of
+    words miss those that differ by a passage. So the candidates are rows that agree
+    in one of ``bins / band`` bands of MinHash values of the shingles: by chance
+    0.8 ** 8 each, 99.7 % over 32 of them, whatever the edit. They are linked if their
+    sketches of shingles have at least ``similarity``. Pairs that are joined already
+    are not compared, so a dense group costs no pairs. component_id, keeper, nulls,
+    empty texts, repeated rows and empty tables are as in near_groups.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prints = scratch.materialize(word_prints(docs, id_col, text_col, shingle, seeds, bins), "prints")
+    prints = scratch.materialize(shingle_prints(docs, id_col, text_col, shingle, bins, band), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("first")
     twins = prints.groupBy("twin").agg(F.first("prints").alias("prints"), F.first("sketch").alias("sketch"), first)
     nodes = scratch.materialize(twins.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    near = scratch.materialize(_near_something(nodes.select("node", "prints"), seeds, budget, parts), "near")
-    chosen = nodes.select("node", "prints", "sketch").join(near, "node", "left_semi")
-    roots = components(_verified_links(chosen, seeds, budget, similarity, parts))
+    shared = scratch.materialize(_shared(nodes, parts), "shared")
+    roots = components(_verified_links(shared.join(nodes.select("node", "sketch"), "node"), similarity, parts))
     rooted = nodes.select("twin", "first", F.col("node").alias("own")).join(roots, F.col("own") == F.col("node"), "left").select("twin", "first", F.coalesce("root", "own").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("best"))
     table = rooted.join(named, "root").select("twin", "best")

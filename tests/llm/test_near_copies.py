@@ -90,3 +90,50 @@ def test_sketch():
     b[2] = 0
     a[3] = b[3] = 0
     assert np.allclose(simhash.sketch_likeness(a, b), [1, 0.498, -0.004, 1], atol=2e-3)
+
+
+def edited(rng, base, kind, share):
+    """``base`` with a new passage at its end or inside, or without its tail: ``share`` is the likeness left."""
+    n = len(base)
+    if kind == "truncate":
+        return base[: round(n * share)]
+    new = words(rng, round(n * (1 / share - 1)))
+    at = n if kind == "append" else rng.randrange(n // 4, 3 * n // 4)
+    return base[:at] + new + base[at:]
+
+
+@pytest.mark.parametrize("kind", ["append", "insert", "truncate"])
+def test_passages(docs_of, kind):
+    """Copies with a passage more or less are found from a likeness of 0.8 up; the sketch's error is 0.025 there."""
+    rng = random.Random(kind)
+    docs = {}
+    for g in range(80):
+        base = words(rng, rng.choice([150, 400, 1000]))
+        docs[10 * g] = " ".join(base)
+        for c, share in enumerate((0.82, 0.88, 0.94), 1):
+            docs[10 * g + c] = " ".join(edited(rng, base, kind, share))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs_of(list(docs.items()))).collect()}
+    found = defaultdict(list)
+    for i in docs:
+        if i % 10:
+            like = likeness(docs[i], docs[i - i % 10])
+            if like >= 0.8:
+                found[like >= 0.85].append(got[i] == got[i - i % 10])
+    assert min(map(len, found.values())) >= 50
+    assert np.mean(found[False]) > 0.7 and np.mean(found[True]) > 0.97
+
+
+def test_candidates():
+    """Texts with four fifths of their shingles in common agree in some band, by the smallest of their hashes."""
+    rng = np.random.default_rng(4)
+    missed = 0
+    for n in (20, 60, 300, 2000):
+        for _ in range(100):
+            both = rng.integers(1, 2**63, n).astype(np.uint64)
+            low, full = np.zeros((2, 256), np.uint64), np.zeros((2, 256), bool)
+            for i, own in enumerate((both, both[: n * 4 // 5])):
+                for x in np.sort(own)[::-1]:
+                    low[i, int(x) % 256], full[i, int(x) % 256] = x, True
+            a, b = simhash._filled(low, full).reshape(2, 32, 8)
+            missed += not (a == b).all(axis=1).any()
+    assert missed <= 8
