@@ -17,7 +17,7 @@ def string_functions(spark: SparkSession, d: str) -> DataFrame:
 
 def case_functions(spark: SparkSession, d: str) -> DataFrame:
     """F2"""
-    t = F.substring("text", 1, 200)
+    t = F.col("text")
     return table(spark, d, "conversations").select("conv_id", "turn", F.lower(t).alias("low"), upper_eszett(t).alias("up"))
 
 
