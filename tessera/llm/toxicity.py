@@ -10,8 +10,8 @@ discounted and interpolated, so a rare expression falls back to what the classes
 share and says little about either.
 
 Counts cover every labelled training text and are exact sums over keys that hold
-up to eight symbols. The model that is broadcast adds them up in tables of
-``1 << bits`` cells, so it has one size however large the corpus.
+up to eight symbols. The model that is broadcast holds each key with its own figures,
+so it grows with the number of different sequences and no two share a count.
 
 A text's words are compared by log P(toxic) - log P(ordinary). Three figures,
 each normalised for length, place the text on a logistic curve: the mean over all
@@ -45,7 +45,7 @@ _COUNTS = "key long, ordinary long, toxic long"
 class Settings:
     #: Symbols of the highest order, 2 to 8.
     order: int = 5
-    #: Cells of each table of the model, as a power of two.
+    #: Places of each table's index, as a power of two; of no effect on the figures.
     bits: int = 20
     #: Labels are broadcast up to so many rows, about 20 bytes each; more are joined by a shuffle.
     broadcast: int = 1_000_000
@@ -91,8 +91,35 @@ def _key(symbol: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
     return key
 
 
-def _cell(key: np.ndarray, bits: int) -> np.ndarray:
-    return (texts.mix64(key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+class _Table:
+    """Figures (one array row each) by exact key; 0 for a key that isn't held. Keys are sorted, and found from an index of their first bits."""
+
+    def __init__(self, key: np.ndarray, figures: np.ndarray, bits: int):
+        mixed = self._mixed(key)
+        order = np.argsort(mixed)
+        self.bits, self.keys = bits, mixed[order]
+        # A last column of zeros stands for keys that aren't held.
+        self.figures = np.concatenate((figures[:, order], np.zeros((len(figures), 1))), axis=1)
+        self.first = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+        self.most = int(np.diff(self.first, append=len(key)).max())
+
+    @staticmethod
+    def _mixed(key: np.ndarray) -> np.ndarray:
+        """A bijection, so equal only for equal keys."""
+        return texts.mix64(key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def at(self, key: np.ndarray) -> np.ndarray:
+        """Each key's column of ``figures``."""
+        mixed, n = self._mixed(key), len(self.keys)
+        if not n:
+            return np.zeros(len(key), np.int64)
+        place = self.first[(mixed >> np.uint64(64 - self.bits)).astype(np.int64)]
+        # Steps by halves through the keys that share an index place.
+        step = 1 << max(self.most, 1).bit_length()
+        while step := step >> 1:
+            ahead = place + step
+            place = np.where((ahead <= n) & (self.keys[np.minimum(ahead, n) - 1] < mixed), ahead, place)
+        return np.where(self.keys[np.minimum(place, n - 1)] == mixed, np.minimum(place, n - 1), n)
 
 
 def _count(train: DataFrame, order: int) -> DataFrame:
@@ -125,20 +152,12 @@ def _length(key: Column, order: int) -> Column:
     return out
 
 
-def _gather(table: DataFrame, bits: int) -> np.ndarray:
-    """Sums of the figures (doubles) by the cell of their key (first column): one array row per figure."""
+def _gather(table: DataFrame, bits: int) -> _Table:
+    """Sums of the figures (doubles) by key (first column)."""
     names = table.columns[1:]
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_cell(b.column(0).to_numpy(), bits).astype(np.int32)), *b.columns[1:]], ["cell", *names])
-
-    by_cell = scratch.map_arrow(table, cells, "cell int, " + ", ".join(f"{c} double" for c in names)).groupBy("cell").agg(*[F.sum(c).cast("float").alias(c) for c in names])
-    got = by_cell.toArrow()
-    out = np.zeros((len(names), 1 << bits), np.float32)
-    for i in range(len(names)):
-        out[i, got.column(0).to_numpy()] = got.column(i + 1).to_numpy()
-    return out
+    got = table.groupBy("key").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    figures = np.stack([got.column(i + 1).to_numpy() for i in range(len(names))])
+    return _Table(got.column(0).to_numpy(), figures, bits)
 
 
 def _double(*cols: Column) -> list[Column]:
@@ -146,10 +165,10 @@ def _double(*cols: Column) -> list[Column]:
 
 
 class Model:
-    """The counts of both classes and of the orders they share, in tables of fixed size."""
+    """The counts of both classes and of the orders they share, by exact key."""
 
-    def __init__(self, own: np.ndarray, context: np.ndarray, shared: np.ndarray, below: np.ndarray, s: Settings):
-        self.own, self.context, self.shared, self.below, self.s = own, context, shared[0], below, s
+    def __init__(self, own: _Table, context: _Table, shared: _Table, below: _Table, s: Settings):
+        self.own, self.context, self.shared, self.below, self.s = own, context, shared, below, s
 
     def _order(self, lower: np.ndarray, n: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         d = self.s.discount
@@ -165,12 +184,13 @@ class Model:
         for m in range(1, s.order):
             at = np.flatnonzero(place >= m)
             key[at] |= symbol[at - (m - 1)] << (8 * (m - 1))
-            gram, under = _cell(key[at], s.bits), _cell(key[at] >> 8, s.bits)
-            p[at] = self._order(p[at], self.shared[gram], self.below[0, under], self.below[1, under])
+            gram, under = self.shared.at(key[at]), self.below.at(key[at] >> 8)
+            p[at] = self._order(p[at], self.shared.figures[0, gram], self.below.figures[0, under], self.below.figures[1, under])
         inner = np.flatnonzero(place > 0)
         top = _key(symbol, place, s.order)[inner]
-        gram, under = _cell(top, s.bits), _cell(top >> 8, s.bits)
-        logs = [np.log(self._order(p[inner], self.own[c, gram], self.context[c, under], self.context[2 + c, under])) for c in (0, 1)]
+        gram, under = self.own.at(top), self.context.at(top >> 8)
+        own, context = self.own.figures, self.context.figures
+        logs = [np.log(self._order(p[inner], own[c, gram], context[c, under], context[2 + c, under])) for c in (0, 1)]
         return np.bincount(word[inner], logs[1] - logs[0], len(starts))
 
     def figures(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -107,3 +107,14 @@ def test_hard_rows(docs_of, corpus, spark):
     rows = toxicity.score(docs_of(corpus), labels.where("false"), settings=toxicity.Settings(bits=12)).collect()
     assert {r["score"] for r in rows} == {0.5}
     assert toxicity.score(docs_of([]), labels, settings=toxicity.Settings(bits=12)).count() == 0
+
+
+def test_sequences_share_no_count(spark):
+    """However small the index is, each sequence has its own counts."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    train = spark.createDataFrame([(" ".join(rng.choices(words, k=20)), rng.randrange(2)) for _ in range(60)], "text string, toxic int")
+    (_, _, data, offsets), *_ = texts.blocks(pa.array([" ".join(words)]))
+    low, starts, ends, _ = toxicity._words(data, offsets)
+    small, large = (toxicity.fit(train, toxicity.Settings(bits=b)).ratios(low, starts, ends) for b in (6, 20))
+    assert np.allclose(small, large, atol=1e-9)
