@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 
 
 def substring_join(texts: DataFrame, patterns: DataFrame, text: Column, pattern: Column, gram: int = 4) -> DataFrame:
-    """All pairs whose text contains the pattern; patterns of fewer than ``gram`` characters are left out.
+    """All pairs whose text contains the pattern.
 
     A pattern can only stand where its first ``gram`` characters do, so both sides
-    meet on those and only such pairs are compared. Nulls match nothing.
+    meet on those and only such pairs are compared. Shorter patterns meet on all of
+    theirs, in one pass for each length that there is. Nulls match nothing.
     """
     left = texts.withColumn("_text", text).where("_text IS NOT NULL").withColumn("_length", F.length("_text"))
-    places = F.sequence(F.lit(1), F.col("_length") - gram + 1)
-    grams = F.array_distinct(F.transform(places, lambda i: F.substring(F.col("_text"), i, F.lit(gram))))
-    left = left.where(F.col("_length") >= gram).withColumn("_gram", F.explode(grams))
-    right = patterns.withColumn("_pattern", pattern).where(F.length("_pattern") >= gram).withColumn("_gram", F.left("_pattern", F.lit(gram)))
-    return left.join(right, "_gram").where(F.contains("_text", "_pattern")).drop("_text", "_length", "_gram", "_pattern")
+    right = patterns.withColumn("_pattern", pattern).where("_pattern IS NOT NULL").withColumn("_size", F.least(F.length("_pattern"), F.lit(gram)))
+    sizes = sorted(r["_size"] for r in right.select("_size").distinct().collect()) or [gram]
+    out = None
+    for size in sizes:
+        places = F.sequence(F.lit(1), F.col("_length") - size + 1)
+        grams = F.array_distinct(F.transform(places, lambda i: F.substring(F.col("_text"), i, F.lit(size)))) if size else F.array(F.lit(""))
+        found = left.where(F.col("_length") >= size).withColumn("_gram", F.explode(grams))
+        found = found.join(right.where(F.col("_size") == size).withColumn("_gram", F.left("_pattern", F.lit(size))), "_gram").where(F.contains("_text", "_pattern"))
+        out = found if out is None else out.unionByName(found)
+    return out.drop("_text", "_length", "_gram", "_pattern", "_size")
