@@ -89,7 +89,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mea
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_chars, pa.int64()), pa.array(shas, pa.string()), pa.array(signatures, pa.int64()), pa.array(chunks, kind)], ["uid", "doc_id", "n_chars", "text_sha256", "signature", "chunks"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = scratch.identified(docs, "_tessera_row").select(F.col("_tessera_row").alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = scratch.identified(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "uid").select("uid", "doc_id", "text")
     return scratch.map_arrow(scratch.spread(rows), cut, f"uid struct<file: long, place: long>, doc_id {kind}, n_chars long, text_sha256 string, signature long, chunks array<struct<h: long, digest: binary, length: int>>")
 
 
@@ -98,9 +98,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal if identical without the characters of ``[\\x20\\x09-\\x0D]``. Of
     equal texts the row with most code points stays, then the smallest doc_id (null
-    last). Null text is empty; all empty texts are equal. Of repeated rows with the
-    same doc_id and text one stays. An empty table gives an empty result; other
-    columns, whatever their names, are not read.
+    last). Null text is empty; all empty texts are equal. A text of any length is read
+    whole, as a list of chunks. Of repeated rows with the same doc_id and text, which
+    tie, the first by place stays. An empty table gives an empty result; other columns,
+    whatever their names, are not read. ``docs`` may be any DataFrame: rows that are
+    not those of one Parquet table are written first.
     """
     slim = scratch.materialize(recipes(docs, id_col, text_col, **cutting), "recipes")
     repeated = scratch.materialize(slim.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("signature").alias("s")), "repeated")

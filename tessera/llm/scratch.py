@@ -12,8 +12,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from itertools import pairwise
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,11 +43,25 @@ def new_path(spark: SparkSession, name: str) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH_ROWS = 2048
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return it as a plain scan."""
+    """Write ``df`` once to the shared folder and return it as a plain scan.
+
+    Batches for Python hold 2048 rows meanwhile, unless the session asks for fewer, so
+    that long texts don't add up in its memory.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    if not 0 < int(before) <= _BATCH_ROWS:
+        spark.conf.set(_BATCH, str(_BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
@@ -67,6 +81,7 @@ def drop(*tables: DataFrame) -> None:
         if path := getattr(t, "_tessera_path", None):
             fs, p = filesystem(t.sparkSession, path)
             fs.delete(p, True)
+            _written[:] = [w for w in _written if w[1] != path]
 
 
 def mark() -> int:
@@ -83,27 +98,58 @@ def release(since: int, *keep: DataFrame) -> None:
     _written[since:] = [w for w in _written[since:] if w[1] in kept]
 
 
-def _place(df: DataFrame, name: str) -> DataFrame:
-    meta = df.metadataColumn("_metadata")
-    return df.withColumn(name, F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("place")))
+def _nodes(plan):
+    """A JVM plan's nodes, from the top."""
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
+
+
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is columns and rows of one Parquet table, each row at most once, and the same ones at each scan."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    *above, leaf = _nodes(plan)
+    if any(n.nodeName() not in ("Project", "Filter", "SubqueryAlias", "View") for n in above) or not leaf.getClass().getSimpleName().startswith("LogicalRelation"):
+        return False
+    relation = leaf.relation()
+    if not relation.getClass().getSimpleName().startswith("HadoopFsRelation") or relation.fileFormat().toString() != "Parquet":
+        return False
+    paths = relation.location().rootPaths()
+    roots = sorted(paths.apply(i).toString().rstrip("/") + "/" for i in range(paths.size()))
+    # A folder that is named twice, or stands inside another, gives its rows twice.
+    return not any(b.startswith(a) for a, b in pairwise(roots))
+
+
+def free_name(name: str, *tables: DataFrame) -> str:
+    """``name``, longer by underscores until no column of ``tables`` has it in any spelling."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """``docs`` as rows of Parquet files: itself, or what it is written to."""
-    try:
-        _place(docs, "_tessera_row").schema  # noqa: B018  resolves the plan
-        return docs
-    except AnalysisException:
-        return materialize(docs, "rows")
+    """``docs`` as rows of Parquet files: itself, or what it is written to.
+
+    Only columns and filtered rows of one Parquet table stay as they are. Whatever may
+    repeat a row of its source, such as a join, a union or an explode, or may give other
+    rows at another scan, such as a sample, is written.
+    """
+    return docs if _plain_scan(docs) else materialize(docs, "rows")
 
 
 def identified(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with a column that tells its rows apart and is the same at each scan.
 
     It is the Parquet file's hash and the row's place in it. Rows that come from no
-    Parquet scan are written first.
+    plain Parquet scan are written first.
     """
-    return _place(placed(docs), name)
+    rows = placed(docs)
+    meta = rows.metadataColumn("_metadata")
+    return rows.withColumn(name, F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("place")))
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -112,13 +158,40 @@ def spread(rows: DataFrame) -> DataFrame:
     Only a scan of few splits, such as one file of one row group, is dealt anew. What
     has a shuffle of its own is left alone; asking for its partitions would run it.
     """
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    if "Exchange" in plan or "AdaptiveSparkPlan" in plan:
+    names = [n.nodeName() for n in _nodes(rows._jdf.queryExecution().executedPlan())]
+    if any("Exchange" in n or n == "AdaptiveSparkPlan" for n in names):
         return rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
+def _lean(function):
+    """``function``, giving memory that it has freed back to the system now and then."""
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        seen = 0
+
+        def release():
+            pa.default_memory_pool().release_unused()
+            if trim:
+                trim(0)
+
+        for out in function(batches):
+            seen += out.nbytes
+            yield out
+            if seen > 1 << 25:
+                release()
+                seen = 0
+        release()
+
+    return run
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow``, with this package on the path of Python workers on the same file system.
 
@@ -128,4 +201,4 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     env = df.sparkSession.sparkContext.environment
     if home not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, (env.get("PYTHONPATH"), home)))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_lean(function), schema)

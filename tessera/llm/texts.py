@@ -33,8 +33,8 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def blocks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of rows of about ``limit`` bytes: first row, end row, bytes, offsets from 0.
+def blocks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of at most ``rows`` rows of about ``limit`` bytes: first row, end row, bytes, offsets from 0.
 
     A text longer than ``limit`` forms a run of its own. Null counts as empty.
     """
@@ -52,7 +52,7 @@ def blocks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + rows)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 
