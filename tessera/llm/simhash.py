@@ -9,9 +9,6 @@ trie is built once per block with that block's bits first, and each subtree belo
 them is a task's work. A task returns a spanning forest of the links it found,
 not the links, so a dense group of n fingerprints costs n rows. The forests are
 joined by alternating star contractions in written tables.
-
-``near_copies``, for texts whose shingles are alike, has other candidates: rows with
-an equal band of one-permutation MinHash values of their shingles.
 """
 
 from __future__ import annotations
@@ -74,7 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], ["row", "doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = scratch.identified(docs, "_tessera_row").select(F.col("_tessera_row").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = scratch.identified(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "row").select("row", "doc_id", "text")
     return scratch.map_arrow(scratch.spread(rows), compute, f"row struct<file: long, place: long>, doc_id {kind}, fp long")
 
 
@@ -219,8 +216,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of those are null. keeper: true for one row of each component, the first by
     doc_id (null last). Null or empty texts, and such without words, have
     fingerprint 0 and are linked like any other; equal texts are always linked.
-    Repeated rows are rows of their own. An empty table gives an empty result;
-    other columns, whatever their names, are not read.
+    Texts of any length are read whole. Repeated rows are rows of their own, and among
+    those with one doc_id the first by place is the keeper. An empty table gives an
+    empty result; other columns, whatever their names, are not read. ``docs`` may be any
+    DataFrame: rows that are not those of one Parquet table are written first.
     """
     prints = scratch.materialize(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("first")
@@ -230,180 +229,3 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = rooted.groupBy("root").agg(F.min("first").alias("best"))
     table = rooted.join(named, "root").select("fp", "best")
     return prints.join(table, "fp").select("row", "doc_id", "fp", F.col("best.id").alias("component_id"), (F.col("row") == F.col("best.row")).alias("keeper"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"))
-
-
-def _filled(low: np.ndarray, full: np.ndarray, tries: int = 16) -> np.ndarray:
-    """Each row's ``low`` with bins that are not ``full`` taken from full ones, by the same trials in all rows.
-
-    A bin asks ``tries`` bins by hash, then the next full one after a last hash, so
-    two rows agree in any bin with a chance of their likeness. Rows without a full
-    bin stay as they are.
-    """
-    rows, bins = low.shape
-    out, has = low.copy(), full.any(axis=1)
-    at = np.flatnonzero(~full & has[:, None])
-    for t in range(tries + 1):
-        if not len(at):
-            return out
-        row, place = at // bins, at % bins
-        asked = (texts.mix64(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(t + 1)) % np.uint64(bins)).astype(np.int64)
-        if t == tries:
-            # The next full bin at or after each place, round the row.
-            after = np.where(np.tile(full, 2), np.arange(2 * bins), 2 * bins)
-            after = np.minimum.accumulate(after[:, ::-1], axis=1)[:, ::-1] % bins
-            asked = after[row, asked]
-        good = full[row, asked]
-        out.ravel()[at[good]] = low[row[good], asked[good]]
-        at = at[~good]
-    return out
-
-
-def shingle_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bins: int = 256, band: int = 8) -> DataFrame:
-    """row, doc_id, prints, sketch and twin of each row.
-
-    The smallest hash of the text's shingles is taken in each of ``bins`` bins.
-    prints: a hash of each ``band`` bins, empty ones filled from others.
-    sketch: a byte of each bin, 0 for an empty one.
-    twin: a 128-bit hash of all bins.
-    """
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lower = np.frombuffer(_LOWER, np.uint8)
-        for batch in batches:
-            for lo, hi, data, offsets in texts.blocks(batch.column(2), 1 << 19):
-                n_docs, data = hi - lo, lower[data]
-                starts, ends, first = texts.words(data, offsets)
-                h, n = texts.word_hashes(data, starts, ends), np.diff(first)
-                doc = np.repeat(np.arange(n_docs), n)
-
-                # Shingles inside one text; a text of fewer words is one shingle.
-                begin = np.flatnonzero(np.arange(len(h)) + shingle <= first[1:][doc]) if len(h) else np.zeros(0, np.int64)
-                runs = texts.rolling(h, shingle, 0xD1342543DE82EF95)[begin] if len(begin) else np.zeros(0, np.uint64)
-                short = np.flatnonzero((n > 0) & (n < shingle))
-                whole = np.array([int(texts.rolling(h[first[i] : first[i + 1]], int(n[i]), 0x2545F4914F6CDD1D)[0]) for i in short], np.uint64)
-                value, owner = texts.mix64(np.concatenate((runs, whole))), np.concatenate((doc[begin], short)) if len(begin) else short
-                place = owner * bins + (value % np.uint64(bins)).astype(np.int64)
-                order = np.lexsort((value, place))
-                lead = np.ones(len(order), bool)
-                lead[1:] = place[order][1:] != place[order][:-1]
-                at, least = place[order][lead], value[order][lead]
-                low, full, sketch = np.zeros(n_docs * bins, np.uint64), np.zeros(n_docs * bins, bool), np.zeros(n_docs * bins, np.uint8)
-                low[at], full[at] = least, True
-                sketch[at] = 1 + (least >> np.uint64(40)) % np.uint64(255)
-                low, full, sketch = (x.reshape(n_docs, bins) for x in (low, full, sketch))
-                prints = np.zeros((n_docs, bins // band), np.uint64)
-                for at in range(0, n_docs, 512):  # short texts are many in a block
-                    banded = _filled(low[at : at + 512], full[at : at + 512]).reshape(-1, bins // band, band)
-                    for i in range(band):
-                        prints[at : at + 512] = texts.mix64(prints[at : at + 512] * np.uint64(0x9E3779B97F4A7C15) + banded[:, :, i])
-                packed = [sketch[i].tobytes() for i in range(n_docs)]
-                twins = [xxhash.xxh3_128_digest(low[i].tobytes()) for i in range(n_docs)]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n_docs + 1, dtype=np.int32) * (bins // band)), pa.array(prints.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n_docs), batch.column(1).slice(lo, n_docs), lists, pa.array(packed, pa.binary()), pa.array(twins, pa.binary())], ["row", "doc_id", "prints", "sketch", "twin"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = scratch.identified(docs, "_tessera_row").select(F.col("_tessera_row").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return scratch.map_arrow(scratch.spread(rows), compute, f"row struct<file: long, place: long>, doc_id {kind}, prints array<long>, sketch binary, twin binary")
-
-
-def sketch_likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard likeness of rows of sketches: equal bins among those that either has, less chance."""
-    either = ((a | b) > 0).sum(axis=1)
-    share = ((a == b) & (a > 0)).sum(axis=1) / np.maximum(either, 1)
-    return np.where(either > 0, (share - 1 / 255) / (1 - 1 / 255), 1.0)
-
-
-def _shared(nodes: DataFrame, parts: int) -> DataFrame:
-    """node, s and t: the places and values of prints that two nodes or more have."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b.column(i).to_numpy() for i in range(3)] for b in batches]
-        if not got:
-            return
-        node, s, t = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((t, s))
-        same = (s[order][1:] == s[order][:-1]) & (t[order][1:] == t[order][:-1])
-        several = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
-        yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (node, s, t)], ["node", "s", "t"])
-
-    rows = nodes.select("node", F.posexplode("prints").alias("s", "t"))
-    return scratch.map_arrow(rows.repartition(parts, "s", "t"), mark, "node long, s int, t long")
-
-
-def _join_run(run: np.ndarray, sketch: np.ndarray, forest: _Forest, similarity: float, held: int) -> None:
-    """Link all alike of ``run``. Every pair is compared but those that are joined by then.
-
-    Of two nodes that stay apart at least one is outside the largest group, so it is
-    enough that each of those was compared with all that it isn't joined with.
-    """
-    tried = np.zeros(len(run), bool)
-    while True:
-        _, group, size = np.unique(forest.root[run], return_inverse=True, return_counts=True)
-        left = np.flatnonzero((group != size.argmax()) & ~tried)
-        if not len(left):
-            return
-        tried[left[0]] = True
-        others = run[group != group[left[0]]]
-        for at in range(0, len(others), held):
-            y = others[at : at + held]
-            y = y[sketch_likeness(sketch[run[left[0]]][None], sketch[y]) >= similarity]
-            forest.link(np.full(len(y), run[left[0]]), y)
-
-
-def _verified_links(shared: DataFrame, similarity: float, parts: int) -> DataFrame:
-    """Spanning forests (u, v), one per task, of links between nodes with an equal print whose sketches are alike."""
-    held, few = 1 << 13, 8
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(*(b.column(i).to_numpy() for i in range(3)), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, -1)) for b in batches if b.num_rows]
-        if not got:
-            return
-        node, s, t, sketch = (np.concatenate(x) for x in zip(*got, strict=True))
-        known, where, index = np.unique(node, return_index=True, return_inverse=True)
-        sketch = sketch[where]
-        forest = _Forest(len(known))
-        order = np.lexsort((t, s))
-        s, t, who = s[order], t[order], index[order]
-        edge = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (t[1:] != t[:-1]))))
-        ends = np.append(edge[1:], len(who))
-        # Pairs of short runs all at once, by their distance in the run.
-        run_end = np.repeat(np.where(ends - edge <= few, ends, 0), ends - edge)
-        for step in range(1, few):
-            x = np.flatnonzero(np.arange(len(who)) + step < run_end)
-            for at in range(0, len(x), held):
-                a, b = who[x[at : at + held]], who[x[at : at + held] + step]
-                apart = forest.root[a] != forest.root[b]
-                a, b = a[apart], b[apart]
-                alike = sketch_likeness(sketch[a], sketch[b]) >= similarity
-                forest.link(a[alike], b[alike])
-        for a, b in zip(edge[ends - edge > few].tolist(), ends[ends - edge > few].tolist(), strict=True):
-            _join_run(who[a:b], sketch, forest, similarity, held)
-        moved = np.flatnonzero(forest.root != np.arange(len(known)))
-        yield pa.RecordBatch.from_arrays([pa.array(known[moved]), pa.array(known[forest.root[moved]])], ["u", "v"])
-
-    return scratch.map_arrow(shared.repartition(parts, "s", "t").select("node", "s", "t", "sketch"), join, "u long, v long")
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bins: int = 256, band: int = 8) -> DataFrame:
-    """row, doc_id, component_id and keeper of each row, for texts whose shingles are alike.
-
-    One 64-bit fingerprint misses most pairs at a likeness of 0.8, and fingerprints of
-    words miss those that differ by a passage. So the candidates are rows that agree
-    in one of ``bins / band`` bands of MinHash values of the shingles: by chance
-    0.8 ** 8 each, 99.7 % over 32 of them, whatever the edit. They are linked if their
-    sketches of shingles have at least ``similarity``. Pairs that are joined already
-    are not compared, so a dense group costs no pairs. component_id, keeper, nulls,
-    empty texts, repeated rows and empty tables are as in near_groups.
-    """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prints = scratch.materialize(shingle_prints(docs, id_col, text_col, shingle, bins, band), "prints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("first")
-    twins = prints.groupBy("twin").agg(F.first("prints").alias("prints"), F.first("sketch").alias("sketch"), first)
-    nodes = scratch.materialize(twins.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    shared = scratch.materialize(_shared(nodes, parts), "shared")
-    roots = components(_verified_links(shared.join(nodes.select("node", "sketch"), "node"), similarity, parts))
-    rooted = nodes.select("twin", "first", F.col("node").alias("own")).join(roots, F.col("own") == F.col("node"), "left").select("twin", "first", F.coalesce("root", "own").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("best"))
-    table = rooted.join(named, "root").select("twin", "best")
-    return prints.select("row", "doc_id", "twin").join(table, "twin").select("row", "doc_id", F.col("best.id").alias("component_id"), (F.col("row") == F.col("best.row")).alias("keeper"))
