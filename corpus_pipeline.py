@@ -9,53 +9,84 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, mixing, packing, quality, scratch, simhash
+from tessera.llm import exact_dedup, mixing, near_copies, packing, quality, scratch
 
 #: Rows of a decision table that may be broadcast, of about 20 bytes each; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
 def _by_row(docs: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined with rows of ``decisions`` (tessera_row and what else) on the row's place in its file."""
+    """``docs`` joined with ``decisions`` (row and what else) on the row's place in its file."""
     few = decisions.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    placed = scratch.identified(docs, "tessera_row")
+    row = scratch.free_name("row", docs, decisions)
+    decisions = decisions.withColumnRenamed("row", row)
     # Beyond that, decisions are the side that is hashed, so that texts are not sorted.
-    return placed.join(F.broadcast(decisions) if few else decisions.hint("shuffle_hash"), "tessera_row", how).drop("tessera_row")
+    return scratch.identified(docs, row).join(F.broadcast(decisions) if few else decisions.hint("shuffle_hash"), row, how).drop(row)
+
+
+def _without(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    return _by_row(docs, scratch.materialize(found.select("row"), name), "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose posterior of being good is under one half go."""
+    """Documents whose posterior of being good is under one half go.
+
+    Null and empty texts are judged by figures that are all 0, very long ones are read
+    whole, and texts at one half stay. Equal rows share a verdict; rows stay as often as
+    they stood. An empty table gives an empty one, and all columns, whatever their names,
+    are kept.
+    """
     docs = scratch.placed(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = quality.score(docs, labels, host="source", path="lang")
-    return _by_row(docs, scratch.materialize(scored.where(~F.col("kept")).select(F.col("row").alias("tessera_row")), "rejected"), "left_anti")
+    return _without(docs, scored.where(~F.col("kept")), "rejected")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one stays."""
+    """Of texts that are equal without their white space one stays: the longest, then the smallest doc_id.
+
+    Null and empty texts are equal to each other, very long ones are compared whole, and
+    of rows that tie in all this the first by place stays. An empty table gives an empty
+    one, and all columns, whatever their names, are kept.
+    """
     docs = scratch.placed(docs)
-    found = exact_dedup.exact_dedup(docs)
-    return _by_row(docs, scratch.materialize(found.where(~F.col("kept")).select(F.col("row").alias("tessera_row")), "copies"), "left_anti")
+    return _without(docs, exact_dedup.exact_dedup(docs).where(~F.col("kept")), "copies")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, texts with four fifths of their five-word shingles in common, the document with the smallest doc_id stays."""
+    """Of each group of near copies, texts with four fifths of their five-word shingles in common, the smallest doc_id stays.
+
+    Null and empty texts are near each other and nothing else, very long ones are compared
+    whole, null doc_ids come last, and of rows with one doc_id the first by place stays.
+    Repeated rows are near copies. An empty table gives an empty one, and all columns,
+    whatever their names, are kept.
+    """
     docs = scratch.placed(docs)
-    grouped = simhash.near_copies(docs, shingle=5, similarity=0.8)
-    return _by_row(docs, scratch.materialize(grouped.where(~F.col("keeper")).select(F.col("row").alias("tessera_row")), "near"), "left_anti")
+    return _without(docs, near_copies.near_copies(docs, shingle=5, similarity=0.8).where(~F.col("keeper")), "near")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as the mixture takes it; those that it doesn't take go."""
+    """Each document stands as often as the mixture takes it; those that it doesn't take go.
+
+    Null and empty texts have no words and stand as often as their source's rate says, or
+    not at all in a source without words; very long texts count whole. Which of equal rows
+    stand once more is decided by their place. An empty table gives an empty one, and all
+    columns, whatever their names, are kept.
+    """
     docs = scratch.placed(docs)
-    mixed = scratch.materialize(mixing.mix(docs).where("copies > 0").select(F.col("row").alias("tessera_row"), F.col("copies").cast("int").alias("tessera_copies")), "copies")
-    columns = docs.columns
-    taken = _by_row(docs, mixed, "inner")
-    return taken.select(*[F.col(f"`{c}`") for c in columns], F.explode(F.sequence(F.lit(1), F.col("tessera_copies"))).alias("tessera_copy")).drop("tessera_copy")
+    copies, copy = scratch.free_name("copies", docs), scratch.free_name("copy", docs)
+    mixed = mixing.mix(docs).where("copies > 0").select("row", F.col("copies").cast("int").alias(copies))
+    taken = _by_row(docs, scratch.materialize(mixed, "copies"), "inner")
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, each a sequence whose length is a power of two."""
+    """Pieces of all documents, each a sequence whose length is a power of two.
+
+    Null and empty texts are the end id alone, very long ones are cut into as many pieces
+    as they need, equal and repeated rows are packed each for itself, and an empty table
+    gives no piece. Columns beside doc_id and text are not read.
+    """
     return packing.pack(docs, most=1024, end_id=0)
 
 
