@@ -8,8 +8,9 @@ sparse site thus says what its parent says. A document's posterior odds are its
 likelihood ratio times the odds of its path, and its own share is left out of both
 path and host, so that it isn't counted twice.
 
-The corpus is scanned once for evidence; sites are partial sums, of which only the
-variance figures, one row per level, reach the driver.
+The labelled rows are scanned for training, then the corpus once for evidence; sites
+are partial sums, of which only the variance figures, one row per level, reach the
+driver.
 """
 
 from __future__ import annotations
@@ -127,21 +128,25 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Classifier:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, sample: int) -> Classifier:
-    """Fit on at most ``sample`` labelled rows, those whose doc_id has the smallest hashes.
+    """Fit on at most ``sample`` labelled doc_ids, those with the smallest hashes, and one row of each.
 
-    sample bounds what is broadcast (ids) and what reaches the driver (figures).
+    sample bounds what is broadcast (ids) and what reaches the driver (a row of figures
+    for each id). Of several rows with one doc_id the one with the least figures counts.
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("y")).where("_id IS NOT NULL AND y IN (0, 1)")
     chosen = known.groupBy("_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.where("text IS NOT NULL").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text")
+    rows = docs.where("text IS NOT NULL").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "y", "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in texts.blocks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c) for c in figures(data, offsets).T)], ["y", *FIGURES])
+            for lo, hi, data, offsets in texts.blocks(batch.column(2)):
+                own = (batch.column(i).slice(lo, hi - lo) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c) for c in figures(data, offsets).T)], ["_id", "y", *FIGURES])
 
-    got = scratch.map_arrow(rows.select("y", "text"), read, "y int, " + ", ".join(f"{c} double" for c in FIGURES)).toArrow()
+    kind = rows.schema["_id"].dataType.simpleString()
+    seen = scratch.map_arrow(rows, read, f"_id {kind}, y int, " + ", ".join(f"{c} double" for c in FIGURES))
+    got = seen.groupBy("_id").agg(F.min(F.struct("y", *FIGURES)).alias("one")).select("one.*").toArrow()
     if not got.num_rows:
         return fit(np.zeros((0, len(FIGURES))), np.zeros(0))
     order = np.lexsort([c.to_numpy() for c in got.columns])  # sums don't depend on the order of arrival
@@ -176,13 +181,19 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ``threshold``. A null text or one without words is judged by figures that are
     all 0. Labels that are null count for nothing, and of several for one doc_id the
     lowest counts; without labels of both classes documents have no evidence.
-    Repeated rows are rows of their own. An empty table gives an empty result; other
-    columns, whatever their names, are not read.
+    host_share and path_share are those of the site without the row itself. Texts of any
+    length are read whole. Equal texts at one site tie in all figures; repeated rows are
+    rows of their own. An empty table gives an empty result; other columns, whatever
+    their names, are not read. ``docs`` may be any DataFrame: rows that are not those of
+    one Parquet table are written first.
     """
     host, path = (F.col(c) if isinstance(c, str) else c for c in (host, path))
-    rows = scratch.identified(docs, "_tessera_row").select(
-        F.col("_tessera_row").alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("s"), host.cast("string")), F.lit("n")).alias("host"), F.coalesce(F.concat(F.lit("s"), path.cast("string")), F.lit("n")).alias("path"), F.col(text_col).alias("text")
-    )
+
+    def named(site: Column) -> Column:
+        return F.coalesce(F.concat(F.lit("s"), site.cast("string")), F.lit("n"))
+
+    slim = docs.select(F.col(id_col).alias("doc_id"), named(host).alias("host"), named(path).alias("path"), F.col(text_col).alias("text"))
+    rows = scratch.identified(slim, "row").select("row", "doc_id", "host", "path", "text")
     model = train(rows.select("doc_id", "text"), labels, label_col, sample)
     prior = math.log(model.share / (1 - model.share))
 
@@ -206,12 +217,12 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sites = paths.join(host_share, "host")
     paths_by = _strength(sites, "host_share", within)
     whole = hosts.select("host", F.col("n").alias("_hn"), F.col("good").alias("_hgood"))
-    sites = sites.select("host", "path", "host_share", F.col("n").alias("_n"), F.col("good").alias("_good")).join(whole, "host")
+    sites = sites.select("host", "path", F.col("n").alias("_n"), F.col("good").alias("_good")).join(whole, "host")
 
     # The row's own share is left out of its path and of its host.
     rest = (F.lit(hosts_by * share) + F.col("_hgood") - F.col("p")) / (hosts_by + F.col("_hn") - 1)
     path_share = (rest * paths_by + F.col("_good") - F.col("p")) / (paths_by + F.col("_n") - 1)
     evidence = F.col("logit") - prior
-    out = seen.join(sites, ["host", "path"]).withColumn("path_share", path_share)
+    out = seen.join(sites, ["host", "path"]).withColumn("host_share", rest).withColumn("path_share", path_share)
     out = out.select("row", "doc_id", evidence.alias("evidence"), "host_share", "path_share", (1 / (1 + F.exp(-(evidence + _logit(F.col("path_share")))))).alias("posterior"))
     return out.withColumn("kept", F.col("posterior") >= threshold)
