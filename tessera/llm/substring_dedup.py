@@ -85,7 +85,8 @@ def scan(docs: DataFrame, id_col: str, text_col: str, length: int, anchor: int)
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = scratch.identified(docs, "_tessera_row").select(F.monotonically_increasing_id().alias("uid"), F.col("_tessera_row").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = scratch.identified(slim, "row").select(F.monotonically_increasing_id().alias("uid"), "row", "doc_id", "text")
     return scratch.map_arrow(scratch.spread(rows), read, f"uid long, row struct<file: long, place: long>, doc_id {kind}, n_words long, sha string, anchor array<long>, block array<long>, begin array<int>, n array<int>")
 
 
@@ -116,34 +117,48 @@ def _hash_windows(checked: DataFrame, length: int) -> DataFrame:
     return scratch.map_arrow(checked.select("uid", "doc_id", "text", "check"), read, f"uid long, doc_id {kind}, begin int, h1 long, h2 long")
 
 
+def _merged(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, begin and end of the maximal stretches that the given ones cover; touching ones are one."""
+    if not len(doc):
+        return doc, begin, end
+    order = np.lexsort((begin, doc))
+    doc, begin, end = doc[order], begin[order], end[order]
+    # Ends so far inside each text, as texts follow each other on one line.
+    line = int(end.max()) + 2
+    reach = np.maximum.accumulate(doc * line + end)
+    new = np.ones(len(doc), bool)
+    new[1:] = doc[1:] * line + begin[1:] > reach[:-1]
+    last = np.append(np.flatnonzero(new)[1:], len(doc)) - 1
+    return doc[new], begin[new], reach[last] - doc[new] * line
+
+
 def _keep(marked: DataFrame, length: int) -> DataFrame:
     """n_removed, spans and the hash of the kept words, from each row's repeated runs."""
+    span = pa.struct([("begin", pa.int32()), ("end", pa.int32())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in texts.blocks(batch.column(2)):
-                raw = data.tobytes()
-                removed, spans, shas = [], [], []
-                for i, runs in enumerate(batch.column(3).slice(lo, hi - lo).to_pylist()):
-                    tokens = raw[offsets[i] : offsets[i + 1]].split()
-                    merged: list[list[int]] = []
-                    for r in sorted(runs, key=lambda r: r["begin"]):
-                        a, b = r["begin"], r["begin"] + r["n"] + length - 1
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], b)
-                        else:
-                            merged.append([a, b])
-                    kept, at = [], 0
-                    for a, b in merged:
-                        kept += tokens[at:a]
-                        at = b
-                    kept += tokens[at:]
-                    removed.append(len(tokens) - len(kept))
-                    spans.append([{"begin": a, "end": b} for a, b in merged])
-                    shas.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))], ["uid", "n_words", "n_removed", "kept_sha256", "spans"])
-
-    return scratch.map_arrow(marked.select("uid", "n_words", "text", "runs"), read, "uid long, n_words long, n_removed long, kept_sha256 string, spans array<struct<begin: int, end: int>>")
+            for lo, hi, data, offsets in texts.blocks(batch.column(1)):
+                raw, rows = data.tobytes(), hi - lo
+                part = batch.column(2).slice(lo, rows)
+                of = np.repeat(np.arange(rows), part.value_lengths().to_numpy(zero_copy_only=False))
+                run = part.flatten()
+                begin, n = (run.field(c).to_numpy().astype(np.int64) for c in ("begin", "n"))
+                doc, begin, end = _merged(of, begin, begin + n + length - 1)
+                first = np.searchsorted(doc, np.arange(rows + 1))
+                shas = []
+                for i in range(rows):
+                    tokens, kept, at = raw[offsets[i] : offsets[i + 1]].split(), [], 0
+                    for k in range(first[i], first[i + 1]):
+                        kept += tokens[at : begin[k]]
+                        at = end[k]
+                    shas.append(hashlib.sha256(b" ".join(kept + tokens[at:])).hexdigest())
+                pairs = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (begin, end)], fields=list(span))
+                spans = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pairs)
+                removed = np.bincount(doc, end - begin, rows).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, rows), pa.array(removed), pa.array(shas, pa.string()), spans], ["uid", "n_removed", "kept_sha256", "spans"])
+
+    return scratch.map_arrow(marked.select("uid", "text", "runs"), read, "uid long, n_removed long, kept_sha256 string, spans array<struct<begin: int, end: int>>")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, anchor: int = 12, rows: bool = False) -> DataFrame:
@@ -151,14 +166,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     spans: the maximal stretches of words (begin, end) whose windows of ``length``
     words all also start in a document with a smaller doc_id; those words are
-    removed. Null doc_id counts as larger than any other; rows with one doc_id don't
-    remove each other's words. Null or empty texts have no words. An empty table
-    gives an empty result; other columns, whatever their names, are not read.
+    removed. Null doc_id counts as larger than any other; rows with one doc_id, which
+    tie, don't remove each other's words, and repeated rows are rows of their own. Null
+    or empty texts have no words; texts of any length are read whole. An empty table
+    gives an empty result; other columns, whatever their names, are not read. ``docs``
+    may be any DataFrame: rows that are not those of one Parquet table are written first.
     """
     if not 1 <= anchor <= length:
         raise ValueError("anchor must be from 1 to length")
-    docs = scratch.placed(docs)
-    slim = scratch.materialize(scan(docs, id_col, text_col, length, anchor), "runs")
+    docs = scratch.placed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    slim = scratch.materialize(scan(docs, "doc_id", "text", length, anchor), "runs")
     runs = slim.select("uid", "doc_id", F.inline(F.arrays_zip("anchor", "block", "begin", "n")))
 
     # Blocks that several rows hold, or whose anchor stands in several blocks.
@@ -173,7 +190,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per_row = found.groupBy("uid").agg(F.collect_list(F.when(F.col("repeated"), run)).alias("sure"), F.collect_list(F.when(~F.col("repeated"), run)).alias("check"))
     plain = slim.select("uid", "row", "doc_id", "n_words", "sha")
     per_row = per_row.join(plain.select("uid", "row", "doc_id", "n_words"), "uid")
-    text = scratch.identified(docs, "_tessera_row").select(F.col("_tessera_row").alias("row"), F.col(text_col).alias("text"))
+    text = scratch.identified(docs, "row").select("row", "text")
     # Texts are shuffled but not sorted: the lists are the side that is hashed.
     candidates = scratch.materialize(text.join(per_row.hint("shuffle_hash"), "row").drop("row"), "candidates")
 
@@ -184,8 +201,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     extra = hit.groupBy("uid").agg(F.collect_list("run").alias("extra"))
 
     none = F.array().cast("array<struct<begin: int, n: int>>")
-    marked = candidates.join(extra.hint("shuffle_hash"), "uid", "left").select("uid", "n_words", "text", F.concat("sure", F.coalesce("extra", none)).alias("runs")).where(F.size("runs") > 0)
-    cut = _keep(marked, length).drop("n_words")
+    marked = candidates.join(extra.hint("shuffle_hash"), "uid", "left").select("uid", "text", F.concat("sure", F.coalesce("extra", none)).alias("runs")).where(F.size("runs") > 0)
+    cut = scratch.materialize(_keep(marked, length), "cut")
+    scratch.drop(known, candidates, windows, first)
     return plain.join(cut, "uid", "left").select(*["row"] * rows, "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<struct<begin: int, end: int>>")).alias("spans"))
 
 
@@ -193,12 +211,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with the repeated words taken out of their texts, and the rest joined by single spaces.
 
     A text without repeated words stays as it is; one of which all words are
-    repeated becomes empty.
+    repeated becomes empty. All else is as in ``substring_dedup``.
     """
     docs = scratch.placed(docs)
-    found = substring_dedup(docs, id_col, text_col, length, anchor, rows=True).where("n_removed > 0").select(F.col("row").alias("_tessera_row"), F.col("spans").alias("_tessera_spans"))
-    joined = scratch.identified(docs, "_tessera_row").join(found, "_tessera_row", "left")
+    row, spans = scratch.free_name("row", docs), scratch.free_name("spans", docs)
+    found = substring_dedup(docs, id_col, text_col, length, anchor, rows=True).where("n_removed > 0").select(F.col("row").alias(row), F.col("spans").alias(spans))
+    joined = scratch.identified(docs, row).join(found, row, "left")
     tokens = F.split(F.btrim(F.col(text_col), F.lit(texts.SEPARATORS.decode())), texts.WORDS_SPLIT)
-    kept = F.filter(tokens, lambda w, i: ~F.exists(F.col("_tessera_spans"), lambda s: (s["begin"] <= i) & (i < s["end"])))
-    cut = F.when(F.col("_tessera_spans").isNull(), F.col(text_col)).otherwise(F.concat_ws(" ", kept))
+    kept = F.filter(tokens, lambda w, i: ~F.exists(F.col(spans), lambda s: (s["begin"] <= i) & (i < s["end"])))
+    cut = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(F.concat_ws(" ", kept))
     return joined.withColumn(text_col, cut).select(*[F.col(f"`{c}`") for c in docs.columns])
