@@ -10,8 +10,10 @@ discounted and interpolated, so a rare expression falls back to what the classes
 share and says little about either.
 
 Counts cover every labelled training text and are exact sums over keys that hold
-up to eight symbols. The model that is broadcast holds each key with its own figures,
-so it grows with the number of different sequences and no two share a count.
+up to eight symbols. Each key has its own figures, so what is gathered grows with the
+number of different sequences. Up to a counted number of them they are broadcast;
+beyond it they stay tables, and the corpus's different words are spelt out and joined
+with them.
 
 A text's words are compared by log P(toxic) - log P(ordinary). Three figures,
 each normalised for length, place the text on a logistic curve: the mean over all
@@ -49,6 +51,10 @@ class Settings:
     bits: int = 20
     #: Labels are broadcast up to so many rows, about 20 bytes each; more are joined by a shuffle.
     broadcast: int = 1_000_000
+    #: Sequences are broadcast up to so many, about 40 bytes each; more are joined by a shuffle.
+    sequences: int = 4_000_000
+    #: Cells of figures that the curve is fitted on at most; the grid is widened until it has no more.
+    cells: int = 100_000
     #: Absolute discount of each order.
     discount: float = 0.75
     #: A word counts as an excess by what its log ratio is over this.
@@ -64,9 +70,13 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Lower-cased symbols; starts and ends of words without punctuation at their ends; each text's first word."""
     low = _SYMBOL[data]
     starts, ends, first = texts.words(data, offsets)
-    for _ in range(3 if len(starts) else 0):
-        ends = ends - ((ends - starts > 1) & _EDGE[low[ends - 1]])
-        starts = starts + ((ends - starts > 1) & _EDGE[low[starts]])
+    if len(starts):
+        # The nearest symbols that are no punctuation, back from each end and on from each start.
+        place = np.arange(len(low))
+        back = np.maximum.accumulate(np.where(_EDGE[low], -1, place))
+        on = np.minimum.accumulate(np.where(_EDGE[low], len(low), place)[::-1])[::-1]
+        ends = np.maximum(back[ends - 1] + 1, starts + 1)
+        starts = np.where(on[starts] < ends, on[starts], starts)
     return low, starts, ends, first
 
 
@@ -152,16 +162,10 @@ def _length(key: Column, order: int) -> Column:
     return out
 
 
-def _gather(table: DataFrame, bits: int) -> _Table:
-    """Sums of the figures (doubles) by key (first column)."""
-    names = table.columns[1:]
-    got = table.groupBy("key").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
-    figures = np.stack([got.column(i + 1).to_numpy() for i in range(len(names))])
-    return _Table(got.column(0).to_numpy(), figures, bits)
-
-
-def _double(*cols: Column) -> list[Column]:
-    return [c.cast("double").alias(f"f{i}") for i, c in enumerate(cols)]
+def _sums(rows: DataFrame, table: int, key: Column, *figures: Column) -> DataFrame:
+    """table, key and the sums f0 to f3 of ``figures`` by key."""
+    sums = [F.sum(c.cast("double")) for c in figures] + [F.lit(0.0)] * (4 - len(figures))
+    return rows.groupBy(key.alias("key")).agg(*[c.alias(f"f{i}") for i, c in enumerate(sums)]).select(F.lit(table).alias("table"), "key", "f0", "f1", "f2", "f3")
 
 
 class Model:
@@ -210,15 +214,16 @@ class Model:
         return out
 
 
-def fit(train: DataFrame, s: Settings) -> Model:
-    """train: text and toxic (0 or 1) of all rows to count."""
+#: Numbers of the tables of figures: of each class, sequences and what goes before them; of both, the same.
+_OWN, _CONTEXT, _SHARED, _BELOW = range(4)
+
+
+def figures_of(train: DataFrame, s: Settings) -> DataFrame:
+    """table, key and f0 to f3 of all sequences of ``train`` (text and toxic, 0 or 1), written."""
     if not 2 <= s.order <= 8:
         raise ValueError("order must be from 2 to 8")
     top = scratch.materialize(_count(train, s.order).withColumn("size", _length(F.col("key"), s.order)), "sequences")
-    under = F.shiftrightunsigned("key", 8)
-    own = _gather(top.select("key", *_double(F.col("ordinary"), F.col("toxic"))), s.bits)
-    seen = [F.when(F.col(c) > 0, 1).otherwise(0) for c in ("ordinary", "toxic")]
-    context = _gather(top.select(under.alias("key"), *_double(F.col("ordinary"), F.col("toxic"), *seen)), s.bits)
+    under, classes = F.shiftrightunsigned("key", 8), (F.col("ordinary"), F.col("toxic"))
 
     # Each lower order counts the different sequences, one symbol longer, that end in each of its own.
     levels, longer = [], None
@@ -232,14 +237,35 @@ def fit(train: DataFrame, s: Settings) -> Model:
     every = levels[0]
     for level in levels[1:]:
         every = every.unionByName(level)
-    shared = _gather(every.select("key", *_double(F.col("n"))), s.bits)
-    below = _gather(every.select(under.alias("key"), *_double(F.col("n"), F.lit(1))), s.bits)
+    out = _sums(top, _OWN, F.col("key"), *classes)
+    out = out.unionByName(_sums(top, _CONTEXT, under, *classes, *[F.when(c > 0, 1).otherwise(0) for c in classes]))
+    out = out.unionByName(_sums(every, _SHARED, F.col("key"), F.col("n"))).unionByName(_sums(every, _BELOW, under, F.col("n"), F.lit(1)))
+    out = scratch.materialize(out, "model")
     scratch.drop(top, *levels)
-    return Model(own, context, shared, below, s)
+    return out
+
+
+def gathered(table: DataFrame, s: Settings) -> Model:
+    """The model of ``figures_of`` on the driver."""
+    got = table.toArrow()
+    kind, key = got.column(0).to_numpy(), got.column(1).to_numpy()
+    figures = np.stack([got.column(i).to_numpy() for i in range(2, 6)])
+    return Model(*[_Table(key[kind == k], figures[:n, kind == k], s.bits) for k, n in ((_OWN, 2), (_CONTEXT, 4), (_SHARED, 1), (_BELOW, 2))], s)
+
+
+def fit(train: DataFrame, s: Settings) -> Model:
+    """train: text and toxic (0 or 1) of all rows to count."""
+    table = figures_of(train, s)
+    model = gathered(table, s)
+    scratch.drop(table)
+    return model
+
+
+_FIGURES = "mean double, excess double, most double"
 
 
 def compare(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, and mean, excess and most of its text."""
+    """doc_id, and mean, excess and most of its text, written."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +275,86 @@ def compare(docs: DataFrame, model: Model) -> DataFrame:
             figures = np.concatenate(got, axis=1) if got else np.zeros((3, 0))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(f) for f in figures)], ["doc_id", "mean", "excess", "most"])
 
-    return scratch.map_arrow(docs.select("doc_id", "text"), read, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mean double, excess double, most double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = scratch.materialize(scratch.map_arrow(docs.select("doc_id", "text"), read, f"doc_id {kind}, {_FIGURES}"), "figures")
+    sent.destroy()
+    return out
+
+
+def _spellings(rows: DataFrame) -> DataFrame:
+    """row, word (its symbols) and n of each row's different words."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in texts.blocks(batch.column(1), _BLOCK):
+                low, starts, ends, first = _words(data, offsets)
+                if not len(starts):
+                    continue
+                doc = np.repeat(np.arange(hi - lo), np.diff(first))
+                tagged = texts.mix64(texts.word_hashes(low, starts, ends) + texts.mix64(doc.astype(np.uint64) + np.uint64(1)))
+                _, where, n = np.unique(tagged, return_index=True, return_counts=True)
+                raw = low.tobytes()
+                spelt = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + doc[where])), pa.array(spelt, pa.binary()), pa.array(n)], ["row", "word", "n"])
+
+    return scratch.map_arrow(rows.select("row", "text"), read, "row struct<file: long, place: long>, word binary, n long")
+
+
+def _grams(words: DataFrame, order: int) -> DataFrame:
+    """word, place, m and key: of each symbol of a word, the sequences of m symbols up to it; m is ``order`` for the highest, whatever its length."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, low, offsets in texts.blocks(batch.column(1), 1 << 18):
+                symbol, place, word = _spelt(low, offsets[:-1], offsets[1:])
+                for m in range(1, order + 1):
+                    at = np.flatnonzero(place >= (m if m < order else 1))
+                    key = _key(symbol, place, m)[at]
+                    ids = batch.column(0).take(pa.array(lo + word[at]))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(place[at].astype(np.int32)), pa.array(np.full(len(at), m, np.int32)), pa.array(key)], ["word", "place", "m", "key"])
+
+    return scratch.map_arrow(words, read, "word long, place int, m int, key long")
+
+
+def compare_by_join(docs: DataFrame, table: DataFrame, s: Settings) -> DataFrame:
+    """What ``compare`` gives, by joins with the table of ``figures_of``: for models that are too large to broadcast."""
+    rows = scratch.identified(docs.select("doc_id", "text"), "row")
+    spelt = scratch.materialize(_spellings(scratch.spread(rows)), "spellings")
+    words = scratch.materialize(spelt.select("word").distinct().select(F.monotonically_increasing_id().alias("id"), "word"), "words")
+    grams = _grams(words, s.order).withColumn("own", F.col("m") == s.order).withColumn("under", F.shiftrightunsigned("key", 8))
+    for name, own, shared in (("key", _OWN, _SHARED), ("under", _CONTEXT, _BELOW)):
+        side = table.where(F.col("table").isin(own, shared)).select((F.col("table") == own).alias("own"), F.col("key").alias(name), F.struct("f0", "f1", "f2", "f3").alias(f"of_{name}"))
+        grams = grams.join(side, ["own", name], "left")
+    n, of = F.col("of_key"), F.col("of_under")
+    d, zero = F.lit(s.discount), F.lit(0.0)
+
+    def step(count: Column, total: Column, kinds: Column) -> Column:
+        """An order's probability as a + b times the order's below it."""
+        seen = F.greatest(total, F.lit(1.0))
+        a = F.least(F.greatest(count - d, zero) / seen, F.lit(1.0))
+        return F.when(total > 0, F.struct(a.alias("a"), F.least(d * kinds / seen, F.lit(1.0)).alias("b"))).otherwise(F.struct(zero.alias("a"), F.lit(1.0).alias("b")))
+
+    def figure(side: Column, i: int) -> Column:
+        return F.coalesce(side[f"f{i}"], zero)
+
+    lower = step(figure(n, 0), figure(of, 0), figure(of, 1))
+    classes = [F.when(F.col("own"), step(figure(n, c), figure(of, c), figure(of, 2 + c))) for c in (0, 1)]
+    steps = F.struct("m", F.when(~F.col("own"), lower).alias("lower"), *[x.alias(f"c{i}") for i, x in enumerate(classes)])
+    per = grams.groupBy("word", "place").agg(F.array_sort(F.collect_list(steps)).alias("steps"))
+    below = F.aggregate(F.filter("steps", lambda x: x["lower"].isNotNull()), F.lit(1 / 256), lambda p, x: x["lower"]["a"] + x["lower"]["b"] * p)
+    last = F.element_at("steps", -1)
+    logs = [F.log(last[f"c{i}"]["a"] + last[f"c{i}"]["b"] * F.col("below")) for i in (0, 1)]
+    ratio = per.withColumn("below", below).groupBy("word").agg(F.sum(logs[1] - logs[0]).alias("ratio"))
+    ratio = scratch.materialize(words.join(ratio.withColumnRenamed("word", "id"), "id").select("word", "ratio"), "ratios")
+
+    each = spelt.join(ratio, "word").groupBy("row").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("ratio")).alias("sum"), F.sum(F.col("n") * F.greatest(F.col("ratio") - s.margin, zero)).alias("over"), F.max("ratio").alias("max")
+    )
+    got = rows.select("row", "doc_id").join(each, "row", "left")
+    mean, excess, most = F.col("sum") / F.col("n"), F.col("over") / F.sqrt("n"), F.greatest(F.col("max"), zero)
+    out = scratch.materialize(got.select("doc_id", *[F.coalesce(c, zero).alias(name) for c, name in ((mean, "mean"), (excess, "excess"), (most, "most"))]), "figures")
+    scratch.drop(spelt, words, ratio)
+    return out
 
 
 def logistic(x: np.ndarray, n: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -279,8 +384,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     alone. Null or empty texts score what three zeros score; without labels of both
     classes every score is 0.5. Labels that are null, or whose doc_id is null, count
     for nothing; a doc_id with several labels counts as toxic if one says so; rows of
-    ``docs`` may repeat. An empty table gives an empty result; other columns,
-    whatever their names, are not read.
+    ``docs`` may repeat, and equal texts tie in their score. Texts of any length are
+    read whole. An empty table gives an empty result; other columns, whatever their
+    names, are not read.
     """
     s = settings or Settings()
     rows = scratch.spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
@@ -289,11 +395,21 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = scratch.materialize(known, "labels")
     known = F.broadcast(known) if known.count() <= s.broadcast else known.hint("shuffle_hash")
     train = rows.where(fold(F.col("doc_id")).isin(1, 2, 3)).join(known, F.col("doc_id") == F.col("_id")).select("text", "toxic")
-    compared = scratch.materialize(compare(rows, fit(train, s)), "figures")
-    steps = [F.round(F.col(c) / step).alias(c) for c, step in GRID.items()]
-    placed = compared.where(fold(F.col("doc_id")) == 4).join(known, F.col("doc_id") == F.col("_id")).groupBy(*steps).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("y")).toArrow()
+    table = figures_of(train, s)
+    compared = compare(rows, gathered(table, s)) if table.count() <= s.sequences else compare_by_join(rows, table, s)
+    scratch.drop(table)
+    wide = np.array(list(GRID.values()))
+    cells = compared.where(fold(F.col("doc_id")) == 4).join(known, F.col("doc_id") == F.col("_id")).select(*GRID, F.lit(1).alias("n"), F.col("toxic").alias("y"))
+    while True:
+        steps = [F.round(F.col(c) / float(step)).alias(c) for c, step in zip(GRID, wide, strict=True)]
+        grid = scratch.materialize(cells.groupBy(*steps).agg(F.sum("n").alias("n"), F.sum("y").alias("y")), "grid")
+        if grid.count() <= s.cells:
+            break
+        wide = 2 * wide
+    placed = grid.toArrow()
     *x, n, y = (c.to_numpy().astype(float) for c in placed.columns)
-    w = logistic(np.column_stack(x) * list(GRID.values()), n, y) if 0 < y.sum() < n.sum() else np.zeros(4)
+    order = np.lexsort(x)  # sums don't depend on the order of arrival
+    w = logistic(np.column_stack(x)[order] * wide, n[order], y[order]) if 0 < y.sum() < n.sum() else np.zeros(4)
     z = F.lit(float(w[0]))
     for c, slope in zip(GRID, w[1:], strict=True):
         z = z + F.lit(float(slope)) * F.col(c)

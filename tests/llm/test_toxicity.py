@@ -118,3 +118,36 @@ def test_sequences_share_no_count(spark):
     low, starts, ends, _ = toxicity._words(data, offsets)
     small, large = (toxicity.fit(train, toxicity.Settings(bits=b)).ratios(low, starts, ends) for b in (6, 20))
     assert np.allclose(small, large, atol=1e-9)
+
+
+def test_joined_tables(docs_of, corpus, spark):
+    """Beyond the bound on what is broadcast, joins give the same figures, and the same scores from a wider grid."""
+    labels = spark.createDataFrame([(i, k % 3 == 0) for k, (i, *_) in enumerate(corpus) if i is not None], "doc_id long, toxic boolean")
+    docs = docs_of(corpus).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat(F.col("text"), F.lit(" ((badly!!!!! (bad)"))))
+    one, two = (
+        sorted(toxicity.score(docs, labels, settings=toxicity.Settings(sequences=n)).select("doc_id", "score").collect(), key=lambda r: (str(r["doc_id"]), r["score"])) for n in (4_000_000, 0)
+    )
+    assert [r["doc_id"] for r in one] == [r["doc_id"] for r in two]
+    assert np.allclose([r["score"] for r in one], [r["score"] for r in two], atol=1e-6)
+    table = toxicity.figures_of(docs.where("text IS NOT NULL").select("text", F.lit(1).alias("toxic")).limit(30), toxicity.Settings())
+    by_key = table.groupBy("table", "key").count()
+    assert by_key.where("count > 1").count() == 0
+
+
+def test_punctuation_at_the_ends():
+    (_, _, data, offsets), *_ = texts.blocks(pa.array(["((((word)))) word!!!!! ..... a-b -", "", "x"]))
+    low, starts, ends, first = toxicity._words(data, offsets)
+    raw = low.tobytes()
+    assert [raw[a:b] for a, b in zip(starts, ends, strict=True)] == [b"word", b"word", b".", b"a-b", b"-", b"x"]
+    assert first.tolist() == [0, 5, 5, 6]
+
+
+def test_curve():
+    """The logistic curve against plain gradient steps."""
+    rng = np.random.default_rng(3)
+    x, n = rng.normal(size=(30, 3)), rng.integers(1, 5, 30).astype(float)
+    y = np.minimum(rng.integers(0, 5, 30), n).astype(float)
+    design, w = np.column_stack([np.ones(30), x]), np.zeros(4)
+    for _ in range(40_000):
+        w -= 0.01 * (design.T @ (n / (1 + np.exp(-design @ w)) - y) + 1e-2 * w)
+    assert np.allclose(toxicity.logistic(x, n, y), w, atol=1e-4)
