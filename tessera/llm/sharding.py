@@ -17,7 +17,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import ranks
+from . import ranks, scratch
 
 #: Shards of a full region: racks times shards of a rack.
 RACKS, PER_RACK = 2, 4
@@ -74,19 +74,26 @@ def assign(docs: DataFrame, tree: list[tuple[str, str, int, float]], grown: list
 
     The key of the draws is doc_id alone: rows with one doc_id share a shard, null
     doc_id counting as a key of its own. size: UTF-8 bytes and 1; null text is
-    empty. slot: 0, 1, ... in each shard, by a hash part, then doc_id, text_crc32
-    and size; repeated rows take neighbouring slots. grown_shard: the shard in
+    empty, and texts of any length count whole. slot: 0, 1, ... in each shard, by a hash
+    of doc_id, text_crc32 and the row's place, then these themselves, so that rows that
+    share a doc_id, or have none, are numbered by as many tasks as any others. Repeated
+    rows tie but for their place and take slots of their own. grown_shard: the shard in
     ``grown``, null without it. Empty tables give none; other columns aren't read.
+    ``docs`` may be any DataFrame: rows that are not those of one Parquet table are
+    written first.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.col("doc_id")
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     shard = _descend(key, tree).alias("shard")
-    ids = docs.select(F.col(id_col).alias("doc_id")).select("doc_id", shard)
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
-    rows = rows.select("doc_id", "size", "text_crc32", shard, (_descend(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"))
-    return ranks.positions(rows, ids, ["shard"], ["doc_id"], ["doc_id", "text_crc32", "size"], parts, "slot")
+    rows = scratch.identified(docs.select(F.col(id_col).alias("doc_id"), body.alias("body")), "row")
+    rows = scratch.spread(rows).select("row", "doc_id", (F.octet_length("body") + 1).cast("long").alias("size"), F.crc32("body").alias("text_crc32"))
+    more = (_descend(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard")
+    # Written, so that texts are read once for counting and numbering.
+    rows = scratch.materialize(rows.select("doc_id", "size", "text_crc32", shard, more, F.col("row.place").alias("place"), F.col("row.file").alias("file")), "sizes")
+    by = ["doc_id", "text_crc32", "place"]
+    return ranks.positions(rows, rows, ["shard"], by, [*by, "size", "file"], parts, "slot").drop("place", "file")
 
 
 def place(docs: DataFrame, tree: list[tuple[str, str, int, float]], id_col: str = "doc_id", out: str = "shard") -> DataFrame:
