@@ -106,43 +106,55 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), as_hex(fingerprint(F.col(text_col), bins, bits, k)).alias("fingerprint"))
 
 
+def _search(heads: list, some: Column, doc_id: Column, tie: Column) -> Column:
+    """How many of ``heads``, but the first, are at or before the row, by binary search."""
+    bounds = heads[1:]
+    if not bounds:
+        return F.lit(0)
+    filler = next((h["doc_id"] for h in bounds if h["doc_id"] is not None), None)
+    somes, ties = F.lit([h["some"] for h in bounds]), F.lit([h["tie"] for h in bounds])
+    ids = F.lit([filler if h["doc_id"] is None else h["doc_id"] for h in bounds]) if filler is not None else None
+
+    def reached(i: Column) -> Column:
+        tied = F.get(ties, i) <= tie
+        beyond = F.lit(True) if ids is None else (F.get(ids, i) < doc_id) | ((F.get(ids, i) == doc_id) & tied)
+        return F.when(some, ~F.get(somes, i) | beyond).otherwise(~F.get(somes, i) & tied)
+
+    steps = F.lit([1 << s for s in range(len(bounds).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= len(bounds)) & reached(p + s - 1), p + s).otherwise(p))
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text and fp of each row, and next_text and next_fp of the row that follows by doc_id.
 
     After the last row comes the first; null doc_ids come first, and rows with one
-    doc_id follow each other by their text's hash. Rows are dealt by eight times as
-    many ranges of doc_id as there are shuffle partitions, which evens out what each
-    partition gets, and the first rows of each range are repeated at the end of the
-    one before, so texts are shuffled once and nothing is ordered in one task. Only one doc_id per range reaches the driver.
+    doc_id follow each other by a hash of their place in the file. Rows are dealt by
+    eight times as many ranges of both as there are shuffle partitions, so that ids
+    that repeat, or are missing, are many ranges' work; the first row of each range
+    is repeated at the end of the one before. Texts are shuffled once and nothing is
+    ordered in one task. Only one key per range reaches the driver.
     """
     spark = docs.sparkSession
-    ids = docs.select(F.col(id_col).alias("doc_id"))
+    docs = scratch.placed(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    place = [F.col("doc_id").isNotNull().alias("some"), F.xxhash64("row.place").alias("tie")]
+    keys = scratch.identified(docs.select("doc_id"), "row").select("doc_id", "row", *place)
+    order = ["some", "doc_id", "tie", "row"]
     parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts).alias("at")).first()["at"]
-    bounds = sorted(set(at or []))
-    steps = [1 << s for s in range(len(bounds).bit_length() - 1, -1, -1)] if bounds else []
-
-    def dealt(c: Column) -> Column:
-        """The number of bounds up to the id, by binary search."""
-        if not bounds:
-            return F.lit(0)
-        limit = F.lit(bounds)
-        search = F.aggregate(F.lit(steps), F.lit(0), lambda p, s: F.when((p + s <= len(bounds)) & (F.get(limit, p + s - 1) <= c), p + s).otherwise(p))
-        return F.when(c.isNull(), 0).otherwise(search)
-
-    base = scratch.spread(docs.select(F.col(id_col), F.col(text_col))).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    heads = ids.select("doc_id", dealt(F.col("doc_id")).alias("range")).groupBy("range").agg(F.min(F.struct("doc_id")).alias("head")).orderBy("range").collect()
-    own = base.select("doc_id", "text", dealt(F.col("doc_id")).alias("range"), F.lit(0).alias("ghost"))
+    first = keys.repartitionByRange(parts, "some", "doc_id", "tie").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct(*order)).alias("head"))
+    heads = [r["head"] for r in sorted(first.collect(), key=lambda r: r["part"])]
+
+    base = scratch.spread(scratch.identified(docs, "row")).select("doc_id", "text", "row", *place)
+    at = _search(heads, F.col("some"), F.col("doc_id"), F.col("tie"))
+    own = base.withColumn("range", at).withColumn("ghost", F.lit(0))
     if heads:
-        before = [(heads[i - 1]["range"], h["head"]["doc_id"], 1 if i else 2) for i, h in enumerate(heads)]
-        kind = docs.schema[id_col].dataType.simpleString()
-        table = spark.createDataFrame(before, f"range int, head {kind}, ghost int")
+        before = [((i - 1) % len(heads), tuple(h["row"]), 1) for i, h in enumerate(heads)]
+        table = spark.createDataFrame(before, "range int, row struct<file: long, place: long>, ghost int")
         if len(before) <= _BROADCAST_ROWS:
             table = F.broadcast(table)
-        own = own.unionByName(base.join(table, F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", "range", "ghost"))
+        own = own.unionByName(base.join(table, "row"))
     marked = own.withColumn("fp", fingerprint(F.col("text")))
-    order = W.partitionBy("range").orderBy("ghost", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    following = marked.withColumn("next", F.lead(F.struct("text", "fp")).over(order))
+    over = W.partitionBy("range").orderBy("ghost", *order)
+    following = marked.withColumn("next", F.lead(F.struct("text", "fp")).over(over))
     return following.where("ghost = 0").select("doc_id", "text", "fp", F.col("next.text").alias("next_text"), F.col("next.fp").alias("next_fp"))
 
 
@@ -156,8 +168,11 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each row.
 
     Null text is empty; texts without words share one fingerprint, and are alike
-    only to each other. Repeated rows are rows of their own, an empty table gives an
-    empty result, and other columns, whatever their names, are not read.
+    only to each other. Texts of any length are read whole. Rows with one doc_id tie and
+    follow each other in an order of their own (see ``with_next``); repeated rows are
+    rows of their own, an empty table gives an empty result, and other columns,
+    whatever their names, are not read. ``docs`` may be any DataFrame: rows that are not
+    those of one Parquet table are written first.
     """
     rows = with_next(docs, id_col, text_col).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     both = let(fingerprint(F.col("edited")), lambda f: F.struct(as_hex(f).alias("hex"), likeness(F.col("fp"), f).alias("near")))
