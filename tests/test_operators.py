@@ -42,10 +42,21 @@ def test_interval_join(spark):
 
 
 def test_substring_join(spark):
-    texts = spark.createDataFrame([(1, "abcabcab"), (2, "abc"), (3, None), (4, "xxbcabx")], "id int, t string")
-    patterns = spark.createDataFrame([("abca",), ("bcab",), ("zzzz",), ("ab",), (None,)], "p string")
+    rows, wanted = [(1, "abcabcab"), (2, "abc"), (3, None), (4, "xxbcabx")], ["abca", "bcab", "zzzz", "ab", None]
+    texts, patterns = spark.createDataFrame(rows, "id int, t string"), spark.createDataFrame([(p,) for p in wanted], "p string")
     got = substring_join(texts, patterns, F.col("t"), F.col("p"))
-    assert sorted((r["id"], r["p"]) for r in got.collect()) == [(1, "abca"), (1, "bcab"), (4, "bcab")]
+    assert sorted((r["id"], r["p"]) for r in got.collect()) == sorted((i, p) for i, t in rows for p in wanted if t and p and p in t)
+
+
+def test_substring_join_of_many_starts(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("abc") for _ in range(rng.randrange(30)))) for i in range(40)]
+    wanted = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(60)]
+    texts, patterns = spark.createDataFrame(rows, "id int, t string"), spark.createDataFrame([(p,) for p in set(wanted)], "p string")
+    for most in (1000, 2):
+        monkeypatch.setattr("tessera.operators.contains._STARTS", most)
+        got = substring_join(texts, patterns, F.col("t"), F.col("p"))
+        assert sorted((r["id"], r["p"]) for r in got.collect()) == sorted((i, p) for i, t in rows for p in set(wanted) if p in t)
 
 
 def test_nearest_breaks_ties_by_id(spark):
@@ -55,6 +66,16 @@ def test_nearest_breaks_ties_by_id(spark):
     assert nearest(rows.where("id = 9"), rows, 2, "id", "v").count() == 0
 
 
+def test_nearest_against_all_pairs(spark):
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(60)]  # many ties
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {(r["query_id"], r["rank"]): r["id"] for r in nearest(df.where("id % 7 = 0"), df, 4, "id", "v", query_block=3, row_block=13).collect()}
+    for q, v in rows[::7]:
+        want = sorted((-sum(a * b for a, b in zip(v, x, strict=True)), i) for i, x in rows if i != q)[:4]
+        assert [got[q, k] for k in range(1, 5)] == [i for _, i in want]
+
+
 def test_sessions_and_top_k(spark):
     t0 = dt.datetime(2024, 1, 1)
     e = spark.createDataFrame([(1, t0), (1, t0 + dt.timedelta(seconds=9)), (1, t0 + dt.timedelta(seconds=19)), (2, t0)], "u int, ts timestamp_ntz")
