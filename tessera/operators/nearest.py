@@ -38,11 +38,14 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, id_col: str, vector_col
                     continue
                 s = q.reshape(len(q_ids), -1) @ r.reshape(len(r_ids), -1).T
                 s[q_ids[:, None] == r_ids[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(r_ids, s.shape), -s), axis=1)[:, :k]
-                best = np.take_along_axis(s, order, axis=1)
-                which = np.repeat(np.arange(len(q_ids)), order.shape[1])
-                keep = np.isfinite(best.ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[which][keep]), pa.array(r_ids[order.ravel()][keep]), pa.array(best.ravel()[keep])], ["query_id", "id", "similarity"])
+                # Those that reach the k-th largest product; of more, by ties, the smaller ids.
+                least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if k < s.shape[1] else np.full((len(q_ids), 1), -np.inf)
+                which, place = np.nonzero((s >= least) & np.isfinite(s))
+                order = np.lexsort((r_ids[place], -s[which, place], which))
+                which, place = which[order], place[order]
+                first = np.arange(len(which)) - np.searchsorted(which, which) < k
+                which, place = which[first], place[first]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[which]), pa.array(r_ids[place]), pa.array(s[which, place])], ["query_id", "id", "similarity"])
 
     pairs = _blocks(rows, id_col, vector_col, row_block, "r").crossJoin(_blocks(queries, id_col, vector_col, query_block, "q")).select("q_ids", "q_values", "r_ids", "r_values")
     found = pairs.mapInArrow(product, "query_id long, id long, similarity double")
