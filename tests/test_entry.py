@@ -31,3 +31,20 @@ assert "pipeline" not in e.queries() and not any(n.startswith("op") for n in e.q
 assert len(e.queries()) > 50
 """
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, timeout=120)
+
+
+def test_without_a_module_that_optional_parts_need():
+    code = """
+import sys, warnings
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == "xxhash":
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+sys.meta_path.insert(0, Gone())
+with warnings.catch_warnings(record=True) as said:
+    warnings.simplefilter("always")
+    import __spark_entry__ as e
+assert any("xxhash" in str(w.message) for w in said)
+assert "pipeline" not in e.queries() and len(e.queries()) > 50
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, timeout=120)
