@@ -86,8 +86,21 @@ def longest_turns(spark: SparkSession, d: str) -> DataFrame:
     return top_k(turns, 2, [F.col("chars").desc(), F.col("turn")], ["conv_id"]).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-QUERIES = {f.__name__: f for f in (conv_summary, role_shares, role_transitions, reply_pairs, rendered, keyword_hits, tf_idf, bigrams, longest_turns)}
+def turn_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Jaccard likeness of the word sets of each turn and the one before it, as counts; pairs stay within a conversation."""
+    w = F.array_distinct(tokens(F.col("text")))
+    pairs = _conv(spark, d).select("conv_id", "turn", w.alias("w"), F.lag(w).over(_turns()).alias("v")).where("v IS NOT NULL")
+    shared, either = F.size(F.array_intersect("w", "v")).cast("bigint"), F.size(F.array_union("w", "v")).cast("bigint")
+    return pairs.select("conv_id", "turn", shared.alias("shared"), either.alias("either"), F.round(F.try_divide(shared, either), 6).alias("jaccard"))
+
+
+QUERIES = {f.__name__: f for f in (conv_summary, role_shares, role_transitions, reply_pairs, rendered, keyword_hits, tf_idf, bigrams, longest_turns, turn_overlap)}
 ORACLE_SQL = {
+    "turn_overlap": """
+        WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM conversations),
+        p AS (SELECT conv_id, turn, w, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS v FROM t),
+        n AS (SELECT conv_id, turn, CAST(len(list_intersect(w, v)) AS BIGINT) AS shared, CAST(len(list_distinct(list_concat(w, v))) AS BIGINT) AS either FROM p WHERE v IS NOT NULL)
+        SELECT conv_id, turn, shared, either, round(shared / nullif(either, 0), 6) AS jaccard FROM n""",
     "conv_summary": """
         SELECT conv_id, count(*) AS turns,
                CAST(count(*) FILTER (WHERE role = 'user') AS BIGINT) AS user_turns,

@@ -94,6 +94,13 @@ def contained_names(spark: SparkSession, d: str) -> DataFrame:
     return substring_join(parts, types, F.lower("p_name"), F.col("kind")).select("p_partkey", "kind")
 
 
+def contained_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the benchmark passages that they contain."""
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    return substring_join(documents, items, F.col("text"), F.col("passage"), gram=24).select("doc_id", "item_id")
+
+
 def recursive_cte(spark: SparkSession, d: str) -> DataFrame:
     """Nations by steps through keys that follow each other within a region."""
     views(spark, d, "nation")
@@ -107,7 +114,7 @@ def recursive_cte(spark: SparkSession, d: str) -> DataFrame:
     """)
 
 
-QUERIES = {f.__name__: f for f in (scan_filter_project, semi_join, anti_join, full_join, star_join, time_range_join, bucketed_range_join, asof_previous, subqueries, contained_names, recursive_cte)}
+QUERIES = {f.__name__: f for f in (scan_filter_project, semi_join, anti_join, full_join, star_join, time_range_join, bucketed_range_join, asof_previous, subqueries, contained_names, contained_passages, recursive_cte)}
 ORACLE_SQL = {
     "scan_filter_project": "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_quantity < 10",
     "semi_join": "SELECT o_orderkey, o_orderdate FROM orders SEMI JOIN lineitem ON o_orderkey = l_orderkey",
@@ -139,6 +146,7 @@ ORACLE_SQL = {
         WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')""",
     "contained_names": """
         SELECT p_partkey, kind FROM part JOIN (SELECT DISTINCT lower(p_type) AS kind FROM part) ON contains(lower(p_name), kind)""",
+    "contained_passages": "SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)",
     "recursive_cte": """
         WITH RECURSIVE walk(n_nationkey, n_regionkey, step) AS (
             SELECT n_nationkey, n_regionkey, 0 FROM nation WHERE n_nationkey < 5

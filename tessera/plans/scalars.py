@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions.text import strip_html, tokens, upper_eszett
 from tessera.tables import table, views
 
+_ADDRESS = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
+
 
 def string_functions(spark: SparkSession, d: str) -> DataFrame:
     """F1"""
@@ -49,6 +51,21 @@ def date_functions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.year(t).cast("bigint").alias("y"), F.month(t).cast("bigint").alias("m"), F.day(t).cast("bigint").alias("d"), F.quarter(t).cast("bigint").alias("q"), F.date_trunc("month", t).cast("timestamp_ntz").alias("month"), F.date_add(t.cast("date"), 45).alias("later"), F.datediff(F.lit("2000-01-01").cast("date"), t.cast("date")).cast("bigint").alias("days"), F.date_format(t, "yyyy-MM-dd").alias("text"))
 
 
+def time_functions(spark: SparkSession, d: str) -> DataFrame:
+    """time parts, and whole hours and minutes since a moment."""
+    t, origin = F.col("ts"), F.lit("2023-12-31 17:30:00").cast("timestamp_ntz")
+    parts = {"h": F.hour(t), "min": F.minute(t), "s": F.second(t)}
+    since = {f"{u}s": F.timestamp_diff(u.upper(), origin, t) for u in ("hour", "minute")}
+    return table(spark, d, "events").select("event_id", *[c.cast("bigint").alias(n) for n, c in {**parts, **since}.items()])
+
+
+def address_counts(spark: SparkSession, d: str) -> DataFrame:
+    """e-mail addresses in each document, and different ones."""
+    found = F.regexp_extract_all("text", F.lit(_ADDRESS), F.lit(0))
+    counts = F.size(found).cast("bigint").alias("addresses"), F.size(F.array_distinct(found)).cast("bigint").alias("kinds")
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", *counts)
+
+
 def json_functions(spark: SparkSession, d: str) -> DataFrame:
     """F8: one value by path, by schema and as a variant."""
     p = F.col("props")
@@ -86,18 +103,24 @@ def token_lists(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.size(w).cast("bigint").alias("words"), F.size(F.array_distinct(w)).cast("bigint").alias("kinds"))
 
 
-_FNS = (string_functions, case_functions, hashes, edit_distance, regex_functions, word_counts, date_functions, json_functions, array_functions, math_functions, null_functions, page_fields, token_lists)
+_FNS = (string_functions, case_functions, hashes, edit_distance, regex_functions, address_counts, word_counts, date_functions, time_functions, json_functions, array_functions, math_functions, null_functions, page_fields, token_lists)
 QUERIES = {f.__name__: f for f in _FNS}
 ORACLE_SQL = {
     "string_functions": """
         SELECT p_partkey, length(p_name) AS length, substring(p_name, 2, 3) AS part, reverse(p_name) AS reversed, lpad(p_name, 20, '*') AS padded,
                replace(p_name, ' ', '_') AS joined, CAST(instr(p_name, ' ') AS BIGINT) AS at, trim('  ' || p_name || ' ') AS trimmed, left(p_name, 4) AS start,
                upper(split_part(p_name, ' ', 1)[1]) || split_part(p_name, ' ', 1)[2:] AS capital FROM part""",
-    "case_functions": "SELECT conv_id, turn, lower(substring(text, 1, 200)) AS low, upper(replace(substring(text, 1, 200), 'ß', 'ss')) AS up FROM conversations",
+    "case_functions": "SELECT conv_id, turn, lower(text) AS low, upper(replace(text, 'ß', 'ss')) AS up FROM conversations",
     "hashes": "SELECT c_custkey, md5(c_name) AS md5, sha256(c_name) AS sha256 FROM customer",
     "edit_distance": "SELECT p_partkey, levenshtein(p_name, p_type) AS distance FROM part",
     "regex_functions": """
         SELECT page_id, CAST(len(regexp_extract_all(html, 'href="[^"]*"')) AS BIGINT) AS links, length(regexp_replace(html, '[0-9]+', '#', 'g')) AS masked FROM pages""",
+    "address_counts": f"""
+        WITH f AS (SELECT doc_id, regexp_extract_all(text, '{_ADDRESS}') AS x FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, CAST(len(x) AS BIGINT) AS addresses, CAST(len(list_distinct(x)) AS BIGINT) AS kinds FROM f""",
+    "time_functions": """
+        SELECT event_id, hour(ts) AS h, minute(ts) AS min, second(ts) AS s, date_sub('hour', TIMESTAMP '2023-12-31 17:30:00', ts) AS hours,
+               date_sub('minute', TIMESTAMP '2023-12-31 17:30:00', ts) AS minutes FROM events""",
     "word_counts": "SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '[ \\n]+')) AS word FROM conversations) WHERE word <> '' GROUP BY 1",
     "date_functions": """
         SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, quarter(o_orderdate) AS q,

@@ -59,6 +59,12 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return drain(e.dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type"))
 
 
+def stream_dedup_hourly(spark: SparkSession, d: str) -> DataFrame:
+    """E5: a user's event types, each once an hour; what the watermark has passed leaves the state."""
+    e = events(spark, d).withWatermark("ts", _LATE).select("user_id", "event_type", F.window("ts", "1 hour").alias("w"))
+    return _span(drain(e.dropDuplicates(["user_id", "event_type", "w"]))).drop("end")
+
+
 def _add(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     n, most = state.get if state.exists else (0, 0)
     for b in batches:
@@ -73,7 +79,7 @@ def stream_state(spark: SparkSession, d: str) -> DataFrame:
     return drain(s, "update").groupBy("user_id").agg(F.max("n").alias("n"), F.max("last_event").alias("last_event"))
 
 
-_FNS = (stream_tumbling, stream_tumbling_complete, stream_sliding, stream_sessions, stream_interval_join, stream_dedup, stream_state)
+_FNS = (stream_tumbling, stream_tumbling_complete, stream_sliding, stream_sessions, stream_interval_join, stream_dedup, stream_dedup_hourly, stream_state)
 QUERIES = {f.__name__: f for f in _FNS}
 _MARK = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 ORACLE_SQL = {
@@ -96,5 +102,6 @@ ORACLE_SQL = {
         ON p.user_id = v.user_id AND v.ts <= p.ts AND v.ts >= p.ts - INTERVAL 30 MINUTE
         WHERE p.event_type = 'purchase' AND v.event_type = 'view'""",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
+    "stream_dedup_hourly": "SELECT DISTINCT user_id, event_type, date_trunc('hour', ts) AS start FROM events",
     "stream_state": "SELECT user_id, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY 1",
 }
