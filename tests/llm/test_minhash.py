@@ -3,9 +3,10 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import minhash, queries
+from tessera.llm import minhash, queries, scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,3 +90,59 @@ def test_likeness_is_unbiased(spark, bins, bits):
 def test_plan_is_native(spark):
     plan = queries.op2_minhash_fingerprints(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def plain_fingerprint(text, bins=256, bits=4, k=5, draws=12):
+    """One-permutation MinHash with optimal densification, step by step."""
+
+    def h(*values):
+        seed = 42
+        for v in values:
+            raw = v.encode() if isinstance(v, str) else v.to_bytes(8 if abs(v) >> 31 or isinstance(v, Long) else 4, "little", signed=True)
+            seed = xxhash.xxh64_intdigest(raw, seed)
+        return Long(seed - (seed >> 63 << 64))
+
+    w = [x for x in re.split("[\x20\x09-\x0d]+", text or "") if x]
+    hashes = {h(" ".join(w))} if len(w) <= k else {h(*w[i : i + k]) for i in range(len(w) - k + 1)}
+    first = {}
+    for x in sorted(hashes):
+        first.setdefault((x % 2**64) >> 56, x)
+    out = ""
+    for i in range(bins):
+        asked = [i, *(h(i, a) % bins for a in range(draws))]
+        ranked = min((h(i, "rank", b), x) for b, x in first.items())[1]
+        value = next((first[b] for b in asked if b in first), ranked)
+        out += f"{h(value, i) % 16:x}"
+    return out
+
+
+class Long(int):
+    """Hashed as eight bytes."""
+
+
+def test_against_plain_fingerprints(docs_of, corpus):
+    rows = [(k, t) for k, (_, t, *_) in enumerate(corpus) if len(t or "") < 20_000]
+    got = {r["doc_id"]: r["fingerprint"] for r in minhash.fingerprints(docs_of(rows)).collect()}
+    assert len(rows) > 50 and all(got[i] == plain_fingerprint(t) for i, t in rows)
+
+
+def test_ids_that_are_text_or_repeat(spark):
+    """A third of the rows share an id, a third have none: many ranges get them, and each row follows another once."""
+    n = 300
+    ids = ["same" if i % 3 == 0 else None if i % 3 == 1 else f"é{i:04d}" for i in range(n)]
+    docs = scratch.materialize(spark.createDataFrame([(d, f"text {i} of some words {i * 7}") for i, d in enumerate(ids)], "doc_id string, text string").repartition(6), "texts")
+    rows = minhash.with_next(docs).select("doc_id", "text", "next_text").collect()
+    assert len(rows) == n and len({r["text"] for r in rows}) == len({r["next_text"] for r in rows}) == n
+    by_text = {r["text"]: r for r in rows}
+    start = min(rows, key=lambda r: (r["doc_id"] is not None,))["text"]
+    seen, at = [], start
+    for _ in range(n):
+        seen.append(by_text[at]["doc_id"])
+        at = by_text[at]["next_text"]
+    assert at == start  # one ring
+    turn = next(i for i in range(n) if seen[i] is None and seen[i - 1] is not None)
+    ring = seen[turn:] + seen[:turn]
+    assert ring == sorted(ids, key=lambda d: (d is not None, d or ""))
+    plan = minhash.with_next(docs)
+    ranges = plan.select("doc_id", F.spark_partition_id().alias("p")).where("doc_id IS NULL").distinct().count()
+    assert ranges >= 2

@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -92,3 +93,23 @@ def test_water_fill(pairs):
     assert sum(got) == pytest.approx(sum(sizes)) and all(g <= 3 * s + 1e-6 for g, s in zip(got, sizes, strict=True))
     free = [g / w for g, s, w in zip(got, sizes, weights, strict=True) if g < 3 * s - 1e-6]
     assert not free or max(free) - min(free) < 1e-6 * max(1, max(free))
+
+
+def test_margins_by_proportional_fitting(spark):
+    """Two margins at once, stepped on the driver and over a table, against iterative proportional fitting."""
+    rng = np.random.default_rng(5)
+    mass = rng.integers(1, 100, (4, 3)).astype(float)
+    goal_a, goal_b = mass.sum(axis=1) * [2, 0.5, 1, 1], None
+    goal_b = mass.sum(axis=0) * goal_a.sum() / mass.sum()
+    rates = np.ones((4, 3))
+    for _ in range(5000):
+        rates *= (goal_a / (mass * rates).sum(axis=1))[:, None]
+        rates *= goal_b / (mass * rates).sum(axis=0)
+    cells = spark.createDataFrame([(f"a{i}", f"b{j}", float(mass[i, j]) / 2) for i in range(4) for j in range(3)] * 2, "a string, b string, m double")
+    targets = {"a": {f"a{i}": goal_a[i] for i in range(4)}, "b": {f"b{j}": goal_b[j] for j in range(3)}}
+    for held in (100, 0):
+        tilt = mixing.entropy_balance(cells, ["a", "b"], targets, "m", held=held)
+        got = np.exp([[tilt["a"][f"a{i}"] + tilt["b"][f"b{j}"] for j in range(3)] for i in range(4)])
+        assert np.allclose(got, rates, rtol=1e-6)
+    with pytest.raises(RuntimeError, match="off by"):
+        mixing.entropy_balance(cells, ["a", "b"], {"a": targets["a"], "b": {k: 2 * v for k, v in targets["b"].items()}}, "m")

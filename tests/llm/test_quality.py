@@ -86,3 +86,59 @@ def test_figures_are_of_each_text_alone():
     for i, t in enumerate(rows):
         (_, _, data, offsets), *_ = texts.blocks(pa.array([t], pa.string()))
         assert np.allclose(together[i], quality.figures(data, offsets)[0])
+
+
+def plain_posteriors(rows, share):
+    """rows: (host, path, evidence); the docstring's hierarchy, by dictionaries."""
+    p = [1 / (1 + np.exp(-(e + np.log(share / (1 - share))))) for *_, e in rows]
+    whole, within = np.mean(p), max(np.var(p), 1e-6)
+    paths, hosts = {}, {}
+    for (h, q, _), x in zip(rows, p, strict=True):
+        for table, key in ((paths, (h, q)), (hosts, h)):
+            n, good = table.get(key, (0, 0.0))
+            table[key] = (n + 1, good + x)
+
+    def strength(groups, parents):
+        n = np.array([g[0] for g in groups], float)
+        if len(n) < 2:
+            return 1e6
+        spread = sum(k * (good / k - c) ** 2 for (k, good), c in zip(groups, parents, strict=True))
+        between = max((spread - (len(n) - 1) * within) / (n.sum() - (n**2).sum() / n.sum()), 0.0)
+        m = np.mean(parents)
+        return min(max(m * (1 - m) / max(between, 1e-9) - 1, 1.0), 1e6)
+
+    by_host = strength(list(hosts.values()), [whole] * len(hosts))
+    mean = {h: (by_host * whole + good) / (by_host + n) for h, (n, good) in hosts.items()}
+    by_path = strength(list(paths.values()), [mean[h] for h, _ in paths])
+    out = []
+    for (h, q, e), x in zip(rows, p, strict=True):
+        n, good = hosts[h]
+        rest = (by_host * whole + good - x) / (by_host + n - 1)
+        n, good = paths[h, q]
+        c = (by_path * rest + good - x) / (by_path + n - 1)
+        out.append((rest, c, 1 / (1 + np.exp(-e) * (1 - c) / c)))
+    return np.array(out)
+
+
+def test_against_plain_hierarchy(docs_of, labelled):
+    """Shares and posteriors are those of the method, from evidence alone."""
+    docs, labels = labelled
+    rng = random.Random(4)
+    docs = [(i, t, rng.choice(["en", "de", None]), f"h{min(int(rng.expovariate(1)), 5)}") for i, t, *_ in docs]
+    share = labels.agg(F.avg("quality")).first()[0]
+    got = {r["doc_id"]: r for r in quality.score(docs_of(docs), labels).collect()}
+    want = plain_posteriors([(s, lang, got[i]["evidence"]) for i, _, lang, s in docs], share)
+    have = np.array([[got[i][c] for c in ("host_share", "path_share", "posterior")] for i, *_ in docs])
+    assert np.allclose(have, want, atol=1e-6)
+
+
+def test_bound_on_what_reaches_the_driver(spark, monkeypatch):
+    """However often a labelled doc_id stands, it is one row of the fit."""
+    docs = spark.range(3000).selectExpr("id % 3 AS doc_id", "concat('some words ', id) AS text")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    seen = []
+    whole = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y, *a: seen.append(len(x)) or whole(x, y, *a))
+    quality.train(docs, labels, "quality", 2)
+    quality.train(docs, labels, "quality", 100)
+    assert seen == [2, 3]

@@ -76,3 +76,14 @@ def test_files(docs_of, corpus, spark, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/out")
     want = Counter((r["doc_id"], r["text"], r["shard"]) for r in sharding.place(docs, tree).collect())
     assert Counter((r["doc_id"], r["text"], r["shard"]) for r in back.collect()) == want
+
+
+def test_rows_without_an_id_are_many_sub_groups(spark):
+    """A third of the rows have no doc_id and one text: they share a shard, and many tasks number them."""
+    docs = spark.range(6000).selectExpr("IF(id % 3 = 0, NULL, id) AS doc_id", "IF(id % 3 = 0, 'one', string(id)) AS text")
+    rows = sharding.assign(docs, sharding.topology(4), parts=32)
+    own = rows.where("doc_id IS NULL")
+    assert own.select("shard").distinct().count() == 1 and own.count() == 2000
+    # Slots of a sub-group follow each other, so rows of one sub-group would be one stretch of slots.
+    slots = sorted(r["slot"] for r in own.collect())
+    assert sum(b - a > 1 for a, b in zip(slots, slots[1:], strict=False)) >= 20
