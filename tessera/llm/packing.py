@@ -107,8 +107,9 @@ def pack(docs: DataFrame, parts: int | None = None, **options) -> DataFrame:
 
     sequence_id runs from 0 without gaps, length by length, so that a bucket is a
     range of ids; offset is 0, as each piece is a sequence. A null or empty text is
-    the end id alone. Repeated rows and null ids are documents like any other. An
-    empty table gives an empty result; other columns aren't read.
+    the end id alone, and a text of any length is cut into as many pieces as it needs.
+    Repeated rows, which tie, and null ids are documents like any other. An empty table
+    gives an empty result; other columns aren't read.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -37,13 +37,22 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents enter with estimated counts; a second batch revises every one to its real counts; a retry of the first changes nothing."""
+    """All documents enter with estimated counts; a second batch revises every one to its real counts.
+
+    A third deletes all documents, a fourth enters them again, the folders are folded
+    into one, and a retry of the first batch changes nothing.
+    """
     docs = _documents(spark, sf_dir)
     store = rollups.Store(spark, scratch.new_path(spark, "rollups"))
     estimated = rollups.estimate_tokens(docs)
+    counted = scratch.materialize(rollups.count_tokens(docs), "counts")
     store.commit("load", rollups.changes(None, estimated))
-    store.commit("count", rollups.changes(estimated, rollups.count_tokens(docs)))
+    store.commit("count", rollups.changes(estimated, counted))
+    store.commit("remove", rollups.changes(counted, None))
+    store.commit("return", rollups.changes(None, counted))
+    store.compact()
     store.commit("load", rollups.changes(None, estimated))
+    scratch.drop(counted)
     return store.totals()
 
 

@@ -45,7 +45,10 @@ class Store:
     """Totals below ``path``, a folder that all executors share.
 
     Null keys are groups of their own. Groups whose documents and tokens are both 0
-    are left out of the totals. An empty batch can be committed.
+    are left out of the totals. An empty batch can be committed. The path's file system
+    must rename a folder as one step, as HDFS and local ones do; object stores don't.
+    Totals that were asked for before ``compact`` may read folders that it deletes, so
+    ask again after it.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -130,7 +133,10 @@ def count_tokens(docs: DataFrame, tokenizers: Sequence[str] = ("byte_bpe_50k", "
     """source, lang, tokenizer and tokens: a row per document and tokenizer version.
 
     Versions are the byte-level BPE files of the public tokenizers by their name, and
-    ``words``, runs of ``[^\\x20\\x09-\\x0D]+``. Null or empty texts have 0 tokens.
+    ``words``, runs of ``[^\\x20\\x09-\\x0D]+``. Null or empty texts have 0 tokens, and
+    texts of any length are counted whole. Repeated rows count each for itself, so there
+    are no ties to break. An empty table gives no rows; other columns, whatever their
+    names, are not read.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
