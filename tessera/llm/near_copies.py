@@ -125,7 +125,7 @@ def prints(docs: DataFrame, shingle: int = 5, bins: int = 256, band: int = 8) ->
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in texts.blocks(batch.column(2), 1 << 19, _ROWS):
+            for lo, hi, data, offsets in texts.blocks(batch.column(2), 1 << 17, _ROWS):
                 rows = hi - lo
                 value, at = shingle_sets(data, offsets, shingle)
                 banded = filled(*_minima(value, at, bins)).reshape(rows, bins // band, band)
@@ -148,7 +148,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in texts.blocks(batch.column(1), 1 << 19, _ROWS):
+            for lo, hi, data, offsets in texts.blocks(batch.column(1), 1 << 17, _ROWS):
                 value, at = shingle_sets(data, offsets, shingle)
                 packed = [value[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(packed, pa.binary())], ["node", "shingles"])

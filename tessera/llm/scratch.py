@@ -44,13 +44,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_BATCH_ROWS = 2048
+_BATCH_ROWS = 512
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as a plain scan.
 
-    Batches for Python hold 2048 rows meanwhile, unless the session asks for fewer, so
+    Batches for Python hold 512 rows meanwhile, unless the session asks for fewer, so
     that long texts don't add up in its memory.
     """
     spark = df.sparkSession
@@ -166,7 +166,7 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 def _lean(function):
-    """``function``, giving memory that it has freed back to the system now and then."""
+    """``function``, giving memory that it has freed back to the system after some megabytes read or given."""
 
     def run(batches):
         import ctypes
@@ -176,18 +176,24 @@ def _lean(function):
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         seen = 0
 
-        def release():
-            pa.default_memory_pool().release_unused()
-            if trim:
-                trim(0)
+        def release(more=0):
+            nonlocal seen
+            seen += more
+            if seen > 1 << 22:
+                pa.default_memory_pool().release_unused()
+                if trim:
+                    trim(0)
+                seen = 0
+
+        def taken():
+            for batch in batches:
+                yield batch
+                release(batch.nbytes)
 
-        for out in function(batches):
-            seen += out.nbytes
+        for out in function(taken()):
             yield out
-            if seen > 1 << 25:
-                release()
-                seen = 0
-        release()
+            release(out.nbytes)
+        release(1 << 23)
 
     return run
 

@@ -33,7 +33,7 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def blocks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 18, rows: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of at most ``rows`` rows of about ``limit`` bytes: first row, end row, bytes, offsets from 0.
 
     A text longer than ``limit`` forms a run of its own. Null counts as empty.
