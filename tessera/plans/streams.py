@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.streaming.runner import drain, events
+from tessera.streaming.sessions import closed_sessions
 
 _LATE = "1 hour"
 
@@ -79,7 +80,13 @@ def stream_state(spark: SparkSession, d: str) -> DataFrame:
     return drain(s, "update").groupBy("user_id").agg(F.max("n").alias("n"), F.max("last_event").alias("last_event"))
 
 
-_FNS = (stream_tumbling, stream_tumbling_complete, stream_sliding, stream_sessions, stream_interval_join, stream_dedup, stream_dedup_hourly, stream_state)
+def stream_timers(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions as a state of its own, which timers close and evict."""
+    e = events(spark, d).withWatermark("ts", _LATE)
+    return drain(closed_sessions(e, "user_id", "ts", 1800)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+_FNS = (stream_tumbling, stream_tumbling_complete, stream_sliding, stream_sessions, stream_interval_join, stream_dedup, stream_dedup_hourly, stream_state, stream_timers)
 QUERIES = {f.__name__: f for f in _FNS}
 _MARK = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 ORACLE_SQL = {
@@ -97,6 +104,11 @@ ORACLE_SQL = {
         s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
         SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k
         HAVING max(ts) + INTERVAL 30 MINUTE <= {_MARK}""",
+    "stream_timers": f"""
+        WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+        s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+        SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k
+        HAVING epoch_ms(max(ts) + INTERVAL 30 MINUTE) < epoch_ms({_MARK})""",
     "stream_interval_join": """
         SELECT p.user_id, p.event_id AS purchase_id, v.event_id AS view_id FROM events p JOIN events v
         ON p.user_id = v.user_id AND v.ts <= p.ts AND v.ts >= p.ts - INTERVAL 30 MINUTE

@@ -19,6 +19,7 @@ from tessera.operators.sessions import sessionize
 from tessera.operators.topk import top_k
 from tessera.sources.files import read, write
 from tessera.streaming.runner import drain
+from tessera.streaming.sessions import closed_sessions
 
 
 @pytest.mark.parametrize("strict", [True, False])
@@ -66,11 +67,13 @@ def test_nearest_breaks_ties_by_id(spark):
     assert nearest(rows.where("id = 9"), rows, 2, "id", "v").count() == 0
 
 
-def test_nearest_against_all_pairs(spark):
+@pytest.mark.parametrize("held", [100, 4])
+def test_nearest_against_all_pairs(spark, held):
     rng = random.Random(2)
     rows = [(i, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(60)]  # many ties
     df = spark.createDataFrame(rows, "id long, v array<double>")
-    got = {(r["query_id"], r["rank"]): r["id"] for r in nearest(df.where("id % 7 = 0"), df, 4, "id", "v", query_block=3, row_block=13).collect()}
+    got = {(r["query_id"], r["rank"]): r["id"] for r in nearest(df.where("id % 7 = 0"), df, 4, "id", "v", query_block=3, row_block=13, held=held).collect()}
+    assert len(got) == 4 * len(rows[::7])
     for q, v in rows[::7]:
         want = sorted((-sum(a * b for a, b in zip(v, x, strict=True)), i) for i, x in rows if i != q)[:4]
         assert [got[q, k] for k in range(1, 5)] == [i for _, i in want]
@@ -124,6 +127,20 @@ def test_late_events_are_dropped(spark, tmp_path):
     assert rows[12] == 1 and rows[17] == 1
 
 
+def test_timers_close_sessions(spark, tmp_path):
+    """A session over two micro-batches counts once; a row that is behind the watermark, and open sessions, don't."""
+    t0, minute = dt.datetime(2024, 1, 1, 12), dt.timedelta(minutes=1)
+    at = [[(1, 10), (1, 0), (2, 0), (1, 50)], [(1, 60), (None, 60)], [(2, 300)], [(2, 5), (3, 400)]]
+    for i, rows in enumerate(at):
+        spark.createDataFrame([(u, t0 + m * minute) for u, m in rows], "u long, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        for f in os.listdir(f"{tmp_path}/in/{i}"):
+            os.utime(f"{tmp_path}/in/{i}/{f}", (time.time() - 100 + 20 * i,) * 2)
+    stream = spark.readStream.schema("u long, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    out = drain(closed_sessions(stream.withWatermark("ts", "1 hour"), "u", "ts", 1800))
+    got = sorted((r["u"], (r["start"] - t0) / minute, (r["end"] - t0) / minute, r["n"]) for r in out.collect())
+    assert got == [(1, 0, 40, 2), (1, 50, 90, 2), (2, 0, 30, 1), (2, 300, 330, 1)]
+
+
 def test_user_functions_take_nulls():
     from tessera.functions.user import running_balance
 
