@@ -6,18 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.slices import LEAST, with_slices
 
-def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, value_cols: list[str], strict: bool = True) -> DataFrame:
+
+def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, value_cols: list[str], strict: bool = True, least: int = LEAST, parts: int | None = None) -> DataFrame:
     """``left`` with ``right``'s value columns from the latest row whose time is before (or at, if not strict).
 
     One shuffle by ``on``: both sides are united and a window carries the last right
     row forward, so no pair of rows is ever formed. Of right rows with one time the
     greatest in ``value_cols`` counts. Left rows without a match get nulls.
+
+    A key with too many rows for one task is cut into slices of time (see
+    ``with_slices``), and the last right row before a slice is repeated at its start.
     """
     # Rows with equal times: right rows come after left ones if strict, before them if not.
     rank = (1, 0) if strict else (0, 1)
     rows = right.select(*on, F.col(right_time).alias("_t"), F.lit(rank[0]).alias("_side"), F.lit(None).alias("_left"), F.struct(*value_cols).alias("_right"))
     lefts = left.select(*on, F.col(left_time).alias("_t"), F.lit(rank[1]).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_left"), F.lit(None).alias("_right"))
-    over = W.partitionBy(*on).orderBy("_t", "_side", "_right").rowsBetween(W.unboundedPreceding, 0)
-    carried = lefts.unionByName(rows).withColumn("_last", F.last("_right", ignorenulls=True).over(over)).where("_left IS NOT NULL")
+    both, cut = with_slices(lefts.unionByName(rows), on, "_t", least, parts)
+    both = both.withColumn("_own", F.lit(True))
+    if cut:
+        # At most one row for each key that is cut and slice.
+        row = F.when(F.col("_right").isNotNull(), F.struct("_t", "_side", "_right"))
+        latest = both.where("_cut").groupBy(*on, "_slice").agg(F.max(row).alias("_latest"))
+        before = W.partitionBy(*on).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+        carried = latest.withColumn("_before", F.last("_latest", ignorenulls=True).over(before)).where("_slice > 0 AND _before IS NOT NULL")
+        both = both.unionByName(carried.select(*on, "_before.*", "_slice", F.lit(False).alias("_own")), allowMissingColumns=True)
+    over = W.partitionBy(*on, "_slice").orderBy("_own", "_t", "_side", "_right").rowsBetween(W.unboundedPreceding, 0)
+    carried = both.withColumn("_last", F.last("_right", ignorenulls=True).over(over)).where("_left IS NOT NULL")
     return carried.select("_left.*", *[F.col(f"_last.{c}").alias(c) for c in value_cols])

@@ -2,14 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.slices import LEAST, with_slices
 
-def sessionize(events: DataFrame, by: list[str], time: str, gap_seconds: float, order: list[str] | None = None, out: str = "session") -> DataFrame:
-    """``events`` with the number of its session, from 1: a new one starts after a gap of at least ``gap_seconds``."""
-    over = W.partitionBy(*by).orderBy(time, *(order or []))
-    seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
-    new = F.when(seconds - F.lag(seconds).over(over) < gap_seconds, 0).otherwise(1)
-    return events.withColumn("_new", new).withColumn(out, F.sum("_new").over(over.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+
+def _seconds(time: Column) -> Column:
+    return F.unix_micros(time.cast("timestamp")) / 1e6
+
+
+def sessionize(
+    events: DataFrame, by: list[str], time: str, gap_seconds: float, order: list[str] | None = None, out: str = "session", least: int = LEAST, parts: int | None = None
+) -> DataFrame:
+    """``events`` with the number of its session, from 1: a new one starts after a gap of at least ``gap_seconds``.
+
+    A key with too many rows for one task is cut into slices of time (see
+    ``with_slices``), whose sessions are numbered on from those of the slices before.
+    """
+
+    def starts(gap: Column) -> Column:
+        return F.when(gap < gap_seconds, 0).otherwise(1)
+
+    rows, cut = with_slices(events, by, time, least, parts)
+    over = W.partitionBy(*by, "_slice").orderBy(time, *(order or []))
+    so_far = over.rowsBetween(W.unboundedPreceding, 0)
+    seconds = _seconds(F.col(time))
+    rows = rows.withColumn("_new", starts(seconds - F.lag(seconds).over(over)))
+    rows = rows.withColumn(out, F.sum("_new").over(so_far))
+    if cut:
+        # One row for each key that is cut and slice; the first row of a slice counts as new in it.
+        ends = rows.where("_cut").groupBy(*by, "_slice").agg(F.sum("_new").alias("_sum"), F.min(time).alias("_first"), F.max(time).alias("_last"))
+        along = W.partitionBy(*by).orderBy("_slice")
+        # A slice goes on with the session before it if its first row follows the last one within the gap.
+        ends = ends.withColumn("_same", 1 - starts(_seconds(F.col("_first")) - _seconds(F.lag("_last").over(along))))
+        ends = ends.withColumn("_before", F.sum(F.col("_sum") - F.col("_same")).over(along.rowsBetween(W.unboundedPreceding, 0)) - F.col("_sum"))
+        names = [f"_key{i}" for i in range(len(by))]
+        ends = ends.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col("_slice").alias("_of"), "_before")
+        match = F.col("_cut") & (F.col("_slice") == F.col("_of"))
+        for c, n in zip(by, names, strict=True):
+            match = match & F.col(c).eqNullSafe(F.col(n))
+        rows = rows.join(ends, match, "left").withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_before", "_of", *names)
+    return rows.drop("_new", "_cut", "_slice")

@@ -16,6 +16,7 @@ from tessera.operators.contains import substring_join
 from tessera.operators.nearest import nearest
 from tessera.operators.ranges import interval_join
 from tessera.operators.sessions import sessionize
+from tessera.operators.slices import with_slices
 from tessera.operators.topk import top_k
 from tessera.sources.files import read, write
 from tessera.streaming.runner import drain
@@ -87,6 +88,48 @@ def test_sessions_and_top_k(spark):
     assert top_k(e.where("false"), 1, [F.col("ts")], ["u"]).count() == 0
 
 
+def _uneven(rng, n):
+    """Rows of which two keys, one of them null, have most; times repeat and may be missing."""
+    return [(i, rng.choice([1, 1, 1, None, None, 2, 3]), rng.choice([None, *range(40)])) for i in range(n)]
+
+
+def test_slices_cut_keys_with_many_rows(spark):
+    rows = spark.createDataFrame(_uneven(random.Random(7), 700), "id int, k int, t int")
+    cut, n = with_slices(rows, ["k"], "t", least=140, parts=8)
+    got = cut.collect()
+    assert n == 2 and {r["k"] for r in got if r["_cut"]} == {1, None} and len(got) == 700
+    assert all(r["_slice"] == 0 for r in got if r["k"] in (2, 3) or r["t"] is None)
+    held, reach = {}, {}
+    for r in got:
+        if r["_cut"] and r["t"] is not None:
+            held[r["_slice"]] = held.get(r["_slice"], 0) + 1
+            reach.setdefault(r["_slice"], set()).add(r["t"])
+    assert len(held) >= 6 and max(held.values()) <= 2 * sum(held.values()) / 8
+    ordered = [reach[s] for s in sorted(reach)]
+    assert all(max(a) < min(b) for a, b in zip(ordered, ordered[1:], strict=False))
+    assert with_slices(rows, ["k"], "t", parts=8)[1] == 0 and with_slices(rows.where("false"), ["k"], "t", least=0, parts=8)[1] == 0
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_asof_in_slices(spark, strict):
+    rng = random.Random(8)
+    left = spark.createDataFrame(_uneven(rng, 300), "id int, k int, t int")
+    right = spark.createDataFrame([(k, t, i) for i, k, t in _uneven(rng, 60)], "k int, rt int, v int")
+    whole, cut = (asof_join(left, right, ["k"], "t", "rt", ["v"], strict, least=least, parts=8).collect() for least in (10**6, 30))
+    assert sorted(map(str, whole)) == sorted(map(str, cut)) and len(cut) == 300
+    assert sum(r["v"] is not None for r in cut) > 200
+
+
+def test_sessions_in_slices(spark):
+    rng, t0 = random.Random(9), dt.datetime(2024, 3, 1)
+    rows = [(i, k, None if t is None else t0 + dt.timedelta(seconds=t * rng.choice([1, 7, 30]))) for i, k, t in _uneven(rng, 400)]
+    e = spark.createDataFrame(rows, "id int, k int, ts timestamp_ntz")
+    whole, cut = (sessionize(e, ["k"], "ts", 6, ["id"], least=least, parts=8) for least in (10**6, 30))
+    assert whole.schema == cut.schema
+    assert sorted(map(str, whole.collect())) == sorted(map(str, cut.collect()))
+    assert cut.agg(F.max("session")).first()[0] > 20
+
+
 def test_text_and_vectors(spark):
     df = spark.createDataFrame([("Ab, cd ef", "<p>x</p><script>a<b</script> y"), (None, None)], "t string, h string")
     rows = df.select(tokens(F.col("t")).alias("w"), strip_html(F.col("h")).alias("h")).collect()
