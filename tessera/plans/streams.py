@@ -7,14 +7,16 @@ event, has passed its end; the oracles leave out the windows still open.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.streaming.runner import drain, events
+from tessera.streaming.runner import drain, drain_arrivals, events
 from tessera.streaming.sessions import closed_sessions
+from tessera.tables import table
 
 _LATE = "1 hour"
 
@@ -86,7 +88,23 @@ def stream_timers(spark: SparkSession, d: str) -> DataFrame:
     return drain(closed_sessions(e, "user_id", "ts", 1800)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
-_FNS = (stream_tumbling, stream_tumbling_complete, stream_sliding, stream_sessions, stream_interval_join, stream_dedup, stream_dedup_hourly, stream_state, stream_timers)
+def stream_late(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly counts of events that arrive in four portions and out of order.
+
+    Of seven events one is six hours late and one half an hour; the watermark drops
+    those whose hour it has passed.
+    """
+    e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.expr("unix_micros(CAST(ts AS TIMESTAMP)) + CASE event_id % 7 WHEN 0 THEN 21600000000 WHEN 1 THEN 1800000000 ELSE 0 END").alias("at"))
+    low, high = e.agg(F.min("at"), F.max("at")).first()
+    # An empty table arrives as one empty portion.
+    cuts = [] if low is None else [low + (high - low) * i // 4 for i in (1, 2, 3)]
+    edges = [None, *cuts, None]
+    portions = [e.where((F.lit(a is None) | (F.col("at") >= F.lit(a))) & (F.lit(b is None) | (F.col("at") < F.lit(b)))).select("ts") for a, b in pairwise(edges)]
+    hourly = drain_arrivals(portions, lambda s: s.withWatermark("ts", _LATE).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")))
+    return _span(hourly).drop("end")
+
+
+_FNS = (stream_tumbling, stream_tumbling_complete, stream_sliding, stream_sessions, stream_interval_join, stream_dedup, stream_dedup_hourly, stream_state, stream_timers, stream_late)
 QUERIES = {f.__name__: f for f in _FNS}
 _MARK = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 ORACLE_SQL = {
@@ -115,5 +133,13 @@ ORACLE_SQL = {
         WHERE p.event_type = 'purchase' AND v.event_type = 'view'""",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_dedup_hourly": "SELECT DISTINCT user_id, event_type, date_trunc('hour', ts) AS start FROM events",
+    "stream_late": f"""
+        WITH a AS (SELECT ts, epoch_us(ts) + CASE event_id % 7 WHEN 0 THEN 21600000000 WHEN 1 THEN 1800000000 ELSE 0 END AS arrived FROM events),
+        s AS (SELECT min(arrived) AS low, max(arrived) - min(arrived) AS span FROM a),
+        p AS (SELECT ts, CASE WHEN arrived < low + span // 4 THEN 0 WHEN arrived < low + span * 2 // 4 THEN 1 WHEN arrived < low + span * 3 // 4 THEN 2 ELSE 3 END AS portion FROM a, s),
+        m AS (SELECT portion, max(max(ts)) OVER (ORDER BY portion ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 HOUR AS mark FROM p GROUP BY portion)
+        SELECT date_trunc('hour', ts) AS start, count(*) AS n FROM p JOIN m USING (portion)
+        WHERE mark IS NULL OR date_trunc('hour', ts) + INTERVAL 1 HOUR > mark
+        GROUP BY 1 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_MARK}""",
     "stream_state": "SELECT user_id, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY 1",
 }

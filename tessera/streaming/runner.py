@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +63,24 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
         return spark.createDataFrame([], stream.schema)
     wanted = batches[-1:] if mode == "complete" else sorted(set(batches))
     return spark.read.schema(stream.schema).parquet(*[f"{out}/batch={b}" for b in wanted])
+
+
+def drain_arrivals(arrivals: Iterable[DataFrame], query: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All rows that a query in append mode emits over a stream whose rows arrive in the given portions.
+
+    The stream goes on from its checkpoint after each portion, so that the watermark
+    that a portion meets is that of all rows before it.
+    """
+    out = None
+    for rows in arrivals:
+        spark = rows.sparkSession
+        if out is None:
+            base = f"{shared_folder(spark)}/tessera-streams/{uuid.uuid4().hex}"
+        rows.write.mode("append").parquet(f"{base}/in")
+        stream = query(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+        writer = stream.writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+        writer.format("parquet").option("path", f"{base}/out").start().awaitTermination()
+        out = spark.read.schema(stream.schema).parquet(f"{base}/out")
+    if out is None:
+        raise ValueError("at least one portion is needed")
+    return out
