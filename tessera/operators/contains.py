@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Different starts of patterns that texts are searched for on the spot.
 _STARTS = 1000
+#: Different starts that are broadcast, of up to ``gram`` characters each.
+_BROADCAST = 1_000_000
 
 
 def substring_join(texts: DataFrame, patterns: DataFrame, text: Column, pattern: Column, gram: int = 4) -> DataFrame:
@@ -17,8 +19,9 @@ def substring_join(texts: DataFrame, patterns: DataFrame, text: Column, pattern:
     theirs, in one pass for each length that there is. Nulls match nothing.
 
     Where patterns start in at most ``_STARTS`` ways, a text keeps only those of its
-    grams that start one before it is repeated for them; beyond that it is repeated for
-    all of its grams, so choose a longer ``gram`` for long patterns.
+    grams that start one before it is repeated for them. Up to ``_BROADCAST`` the starts
+    are broadcast and grams that start no pattern go before anything is shuffled. Beyond
+    that a text is shuffled once for each of its grams, so choose a longer ``gram``.
     """
     left = texts.withColumn("_text", text).where("_text IS NOT NULL").withColumn("_length", F.length("_text"))
     right = patterns.withColumn("_pattern", pattern).where("_pattern IS NOT NULL").withColumn("_size", F.least(F.length("_pattern"), F.lit(gram)))
@@ -28,10 +31,13 @@ def substring_join(texts: DataFrame, patterns: DataFrame, text: Column, pattern:
         places = F.sequence(F.lit(1), F.col("_length") - size + 1)
         grams = F.array_distinct(F.transform(places, lambda i: F.substring(F.col("_text"), i, F.lit(size)))) if size else F.array(F.lit(""))
         own = right.where(F.col("_size") == size).withColumn("_gram", F.left("_pattern", F.lit(size)))
-        starts = [r["_gram"] for r in own.select("_gram").distinct().limit(_STARTS + 1).collect()]
+        kinds = own.select("_gram").distinct()
+        starts = [r["_gram"] for r in kinds.limit(_STARTS + 1).collect()]
         if len(starts) <= _STARTS:
             grams = F.array_intersect(grams, F.array(*map(F.lit, starts)).cast("array<string>"))
         found = left.where(F.col("_length") >= size).withColumn("_gram", F.explode(grams))
+        if len(starts) > _STARTS and kinds.limit(_BROADCAST + 1).count() <= _BROADCAST:
+            found = found.join(F.broadcast(kinds), "_gram", "left_semi")
         found = found.join(own, "_gram").where(F.contains("_text", "_pattern"))
         out = found if out is None else out.unionByName(found)
     return out.drop("_text", "_length", "_gram", "_pattern", "_size")

@@ -55,8 +55,9 @@ def test_substring_join_of_many_starts(spark, monkeypatch):
     rows = [(i, "".join(rng.choice("abc") for _ in range(rng.randrange(30)))) for i in range(40)]
     wanted = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(60)]
     texts, patterns = spark.createDataFrame(rows, "id int, t string"), spark.createDataFrame([(p,) for p in set(wanted)], "p string")
-    for most in (1000, 2):
+    for most, sent in ((1000, 1000), (2, 1000), (2, 2)):
         monkeypatch.setattr("tessera.operators.contains._STARTS", most)
+        monkeypatch.setattr("tessera.operators.contains._BROADCAST", sent)
         got = substring_join(texts, patterns, F.col("t"), F.col("p"))
         assert sorted((r["id"], r["p"]) for r in got.collect()) == sorted((i, p) for i, t in rows for p in set(wanted) if p in t)
 
