@@ -15,10 +15,11 @@ number of different sequences. Up to a counted number of them they are broadcast
 beyond it they stay tables, and the corpus's different words are spelt out and joined
 with them.
 
-A text's words are compared by log P(toxic) - log P(ordinary). Three figures,
-each normalised for length, place the text on a logistic curve: the mean over all
-words, the excess of toxic words over the square root of the length, and the most
-toxic word. The curve is fitted on a fold that the counts leave out.
+A text's words are compared by log P(toxic) - log P(ordinary). Three figures place
+the text on a logistic curve: the mean over all words, which is the length-normalised
+ratio of the two likelihoods; the excess of toxic words over the square root of the
+length; and the most toxic word, a maximum, which is not normalised. The curve is
+fitted on a fold that the counts leave out.
 """
 
 from __future__ import annotations
