@@ -329,22 +329,25 @@ def compare_by_join(docs: DataFrame, table: DataFrame, s: Settings) -> DataFrame
     n, of = F.col("of_key"), F.col("of_under")
     d, zero = F.lit(s.discount), F.lit(0.0)
 
-    def step(count: Column, total: Column, kinds: Column) -> Column:
+    def step(count: Column, total: Column, kinds: Column) -> tuple[Column, Column]:
         """An order's probability as a + b times the order's below it."""
         seen = F.greatest(total, F.lit(1.0))
         a = F.least(F.greatest(count - d, zero) / seen, F.lit(1.0))
-        return F.when(total > 0, F.struct(a.alias("a"), F.least(d * kinds / seen, F.lit(1.0)).alias("b"))).otherwise(F.struct(zero.alias("a"), F.lit(1.0).alias("b")))
+        return F.when(total > 0, a).otherwise(zero), F.when(total > 0, F.least(d * kinds / seen, F.lit(1.0))).otherwise(F.lit(1.0))
 
     def figure(side: Column, i: int) -> Column:
         return F.coalesce(side[f"f{i}"], zero)
 
+    # One row for each order of a symbol, so that plain maxima bring them together without lists.
     lower = step(figure(n, 0), figure(of, 0), figure(of, 1))
-    classes = [F.when(F.col("own"), step(figure(n, c), figure(of, c), figure(of, 2 + c))) for c in (0, 1)]
-    steps = F.struct("m", F.when(~F.col("own"), lower).alias("lower"), *[x.alias(f"c{i}") for i, x in enumerate(classes)])
-    per = grams.groupBy("word", "place").agg(F.array_sort(F.collect_list(steps)).alias("steps"))
-    below = F.aggregate(F.filter("steps", lambda x: x["lower"].isNotNull()), F.lit(1 / 256), lambda p, x: x["lower"]["a"] + x["lower"]["b"] * p)
-    last = F.element_at("steps", -1)
-    logs = [F.log(last[f"c{i}"]["a"] + last[f"c{i}"]["b"] * F.col("below")) for i in (0, 1)]
+    steps = {f"low{m}": (F.col("m") == m, lower) for m in range(1, s.order)}
+    steps |= {f"own{c}": (F.col("own"), step(figure(n, c), figure(of, c), figure(of, 2 + c))) for c in (0, 1)}
+    per = grams.groupBy("word", "place").agg(*[F.max(F.when(where, x)).alias(f"{name}{part}") for name, (where, ab) in steps.items() for part, x in zip("ab", ab, strict=True)])
+    below = F.lit(1 / 256)
+    for m in range(1, s.order):
+        # An order that reaches before a word's start says what the one below it says.
+        below = F.coalesce(f"low{m}a", zero) + F.coalesce(f"low{m}b", F.lit(1.0)) * below
+    logs = [F.log(F.col(f"own{c}a") + F.col(f"own{c}b") * F.col("below")) for c in (0, 1)]
     ratio = per.withColumn("below", below).groupBy("word").agg(F.sum(logs[1] - logs[0]).alias("ratio"))
     ratio = scratch.materialize(words.join(ratio.withColumnRenamed("word", "id"), "id").select("word", "ratio"), "ratios")
 
