@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, packing, quality, rollups, scratch, sharding, simhash, substring_dedup, toxicity
+from . import exact_dedup, late_sessions, minhash, mixing, packing, quality, rollups, scratch, sharding, simhash, substring_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), most=1024, end_id=0)
 
 
+def op11_late_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as events of users, in batches of half an hour of which some turns come up to three late."""
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    versions = late_sessions.late_sessions(late_sessions.conversation_events(conversations), gap=240)
+    return versions.select("user", "batch", "start_s", "end_s", "n_events", "n_new", "n_retracted", "h_sum", "retracted_batch", "retracted_start_s")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_minhash_fingerprints": op2_minhash_fingerprints,
@@ -92,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_packing": op10_packing,
+    "op11_late_sessions": op11_late_sessions,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -124,4 +132,37 @@ ORACLE_SQL: dict[str, str] = {
                h AS text_sha256
         FROM t
     """,
+    "op11_late_sessions": r"""
+        WITH poly AS (
+            SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+                        lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+            FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)),
+        turns AS (
+            SELECT conv_id, turn, unnest([1, 2]) AS k, unnest([CAST(conv_id AS VARCHAR), conv_id || ':' || turn]) AS s
+            FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+        crc AS (
+            SELECT DISTINCT s, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(s, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                       lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS INTEGER)])), 4294967295) AS v
+            FROM turns, poly),
+        hashed AS (
+            SELECT o.conv_id, o.turn, c.v AS c, h.v AS h
+            FROM conversations o JOIN crc c ON c.s = CAST(o.conv_id AS VARCHAR) JOIN crc h ON h.s = o.conv_id || ':' || o.turn),
+        timed AS (
+            SELECT 2 * CAST(floor(conv_id / 8) AS BIGINT) + c % 2 AS u, c // 2 % 7200 + 300 * turn + h % 600 AS s, h, h // 600 AS g FROM hashed),
+        e AS (SELECT u, s, h, CAST(floor(s / 1800) AS BIGINT) + CASE WHEN g % 3 = 0 THEN g % 4 ELSE 0 END AS b FROM timed),
+        so_far AS (
+            SELECT k.b AS upto, e.*, CASE WHEN s - lag(s) OVER (PARTITION BY k.b, u ORDER BY s) <= 240 THEN 0 ELSE 1 END AS starts
+            FROM (SELECT DISTINCT b FROM e) k JOIN e ON e.b <= k.b),
+        islands AS (SELECT *, sum(starts) OVER (PARTITION BY upto, u ORDER BY s ROWS UNBOUNDED PRECEDING) AS island FROM so_far),
+        v AS (
+            SELECT u, upto AS b, min(s) AS lo, max(s) AS hi, count(*) AS n, count(*) FILTER (b = upto) AS n_new, CAST(sum(h) AS BIGINT) AS h_sum
+            FROM islands GROUP BY u, upto, island HAVING count(*) FILTER (b = upto) > 0),
+        gone AS (
+            SELECT v.u, v.b, v.lo, min(w.b) AS by_b, arg_min(w.lo, w.b) AS by_lo
+            FROM v JOIN v w ON w.u = v.u AND w.b > v.b AND w.lo <= v.lo AND w.hi >= v.hi GROUP BY v.u, v.b, v.lo),
+        took AS (SELECT u, by_b AS b, by_lo AS lo, count(*) AS n FROM gone GROUP BY u, by_b, by_lo)
+        SELECT v.u AS "user", v.b AS batch, v.lo AS start_s, v.hi AS end_s, v.n AS n_events, n_new, coalesce(took.n, 0) AS n_retracted, h_sum,
+               by_b AS retracted_batch, by_lo AS retracted_start_s
+        FROM v LEFT JOIN gone USING (u, b, lo) LEFT JOIN took USING (u, b, lo)
+    """,
 }
