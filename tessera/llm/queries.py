@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, late_sessions, minhash, mixing, packing, quality, rollups, scratch, sharding, simhash, substring_dedup, toxicity
+from . import exact_dedup, hard_negatives, late_sessions, minhash, mixing, packing, quality, rollups, scratch, sharding, simhash, substring_dedup, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,21 @@ def op11_late_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.select("user", "batch", "start_s", "end_s", "n_events", "n_new", "n_retracted", "h_sum", "retracted_batch", "retracted_start_s")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose vec_id is divisible by 100; those divisible by 7 change their label first."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.col("label").cast("long")
+    relabelled = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    found = hard_negatives.hard_negatives(relabelled, F.col("id") % 100 == 0, scale=256, positives=5, negatives=5, least=80)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as archives, and read back by their index."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.round_trip(pages, least=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_minhash_fingerprints": op2_minhash_fingerprints,
@@ -100,6 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_packing": op10_packing,
     "op11_late_sessions": op11_late_sessions,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_warc": op13_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -165,4 +182,34 @@ ORACLE_SQL: dict[str, str] = {
                by_b AS retracted_batch, by_lo AS retracted_start_s
         FROM v LEFT JOIN gone USING (u, b, lo) LEFT JOIN took USING (u, b, lo)
     """,
+    "op12_hard_negatives": """
+        WITH r AS (
+            SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS s
+            FROM r a JOIN r b ON a.id <> b.id WHERE a.id % 100 = 0),
+        p AS (SELECT a, b AS p, s AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+        n AS (
+            SELECT p.a, p, ps, b, s, row_number() OVER (PARTITION BY p.a, p ORDER BY s DESC, b) AS k
+            FROM p JOIN s ON s.a = p.a AND NOT same AND 80 * ps <= 100 * s AND 100 * s <= 100 * ps)
+        SELECT a AS anchor_id, p AS positive_id, CAST(k AS INTEGER) AS rank, b AS negative_id, ps AS positive_score, s AS negative_score
+        FROM n WHERE k <= 5
+    """,
+    "op13_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+        h AS (SELECT page_id, t, sha1(t) AS x, max(page_id) OVER (PARTITION BY t) AS most FROM p),
+        five AS (
+            SELECT page_id, t, most, list_transform(range(32), lambda i:
+                (CAST('0x' || substring(x, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - i % 4 * 5 AS INTEGER)) & 31) AS d
+            FROM h)
+        SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(d, lambda v: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = most THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> most THEN most END AS refers_to
+        FROM five
+    """,
 }

@@ -47,17 +47,17 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _BATCH_ROWS = 512
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, batch_rows: int = _BATCH_ROWS) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as a plain scan.
 
-    Batches for Python hold 512 rows meanwhile, unless the session asks for fewer, so
-    that long texts don't add up in its memory.
+    Batches for Python hold ``batch_rows`` rows meanwhile, unless the session asks for
+    fewer, so that long texts don't add up in its memory.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     before = spark.conf.get(_BATCH)
-    if not 0 < int(before) <= _BATCH_ROWS:
-        spark.conf.set(_BATCH, str(_BATCH_ROWS))
+    if not 0 < int(before) <= batch_rows:
+        spark.conf.set(_BATCH, str(batch_rows))
     try:
         df.write.parquet(path)
     finally:
