@@ -34,7 +34,6 @@ from . import scratch, simhash, texts
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_Q = 0xD1342543DE82EF95
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Rows worked on at once, so that very many short texts take no more memory than long ones.
 _ROWS = 1024
@@ -55,10 +54,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[n
     h, n = texts.word_hashes(data, starts, ends), np.diff(first)
     doc = np.repeat(np.arange(n_docs), n)
     begin = np.flatnonzero(np.arange(len(h)) + shingle <= first[1:][doc]) if len(h) else np.zeros(0, np.int64)
-    runs = texts.rolling(h, shingle, _Q)[begin] if len(begin) else np.zeros(0, np.uint64)
+    runs = texts.chained(h, shingle)[begin] if len(begin) else np.zeros(0, np.uint64)
     short = np.flatnonzero((n > 0) & (n < shingle))
-    whole = np.array([int(texts.rolling(h[first[i] : first[i + 1]], int(n[i]), _Q + 2)[0]) for i in short], np.uint64)
-    value = texts.mix64(np.concatenate((runs, whole)))
+    whole = np.array([int(texts.chained(h[first[i] : first[i + 1]], int(n[i]))[0]) for i in short], np.uint64)
+    value = np.concatenate((runs, whole))
     owner = np.concatenate((doc[begin], short)) if len(begin) else short
     order = np.lexsort((value, owner))
     value, owner = value[order], owner[order]

@@ -6,15 +6,18 @@ neighbouring windows mostly share one. A run is a maximal stretch of neighbourin
 windows with one anchor; its block is all words they cover, the anchor extended
 both ways.
 
-1. Scan: each document yields (anchor, block hash) per run, about one per twenty
+1. Scan: each document yields (anchor, block) per run, about one per twenty
    words. Runs are joined on both: a run whose block also stands in an earlier
    document is repeated as a whole. Most of a copied passage is settled here.
-2. Where blocks with one anchor differ (the ends of a shared passage), the
-   earliest document of each block is read again, and its windows are joined one
-   by one on 128-bit hashes.
+2. Where blocks with one anchor differ (the ends of a shared passage), texts are
+   read again, and the windows of those runs are joined one by one.
 3. Repeated windows are merged into maximal spans, and documents that have some
    are read once more for the words that are kept.
 
+Anchors only bring together what may be equal; what is equal is told by the words
+themselves: blocks and windows are compared by 128 bits of BLAKE2b of their words,
+joined by single spaces.
+
 An anchor or window that a third of all documents hold is counted by partial
 aggregates and joined back row by row; nothing is paired within a group.
 """
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import scratch, texts
 
-_Q1, _Q2, _Q3, _Q4 = 0xD1342543DE82EF95, 0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xB5297A4D3A2D9FE3
+_Q1 = 0xD1342543DE82EF95
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -42,26 +45,17 @@ def _windows(first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + first[:-1][doc], doc
 
 
-def _powers(q: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, np.uint64(q)))), dtype=np.uint64)
-
-
 def _runs(h: np.ndarray, first: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Text, first window, number of windows, anchor and block hash of each run."""
+    """Text, first word, number of windows and anchor of each run."""
     start, doc = _windows(first, length)
     if not len(start):
         z = np.zeros(0, np.int64)
-        return z, z, z, z.view(np.uint64), z.view(np.uint64)
+        return z, z, z, z.view(np.uint64)
     low = texts.window_min(texts.mix64(texts.rolling(h, anchor, _Q1)), length - anchor + 1)[start]
     new = np.ones(len(start), bool)
     new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
-    n = np.diff(np.append(at, len(start)))
-    begin, end = start[at], start[at] + n + length - 1
-    inverse = pow(_Q2, -1, 1 << 64)
-    total = np.concatenate(([np.uint64(0)], np.cumsum(h * _powers(_Q2, len(h) - 1), dtype=np.uint64)))
-    block = texts.mix64((total[end] - total[begin]) * _powers(inverse, len(h))[begin] + n.astype(np.uint64) * np.uint64(_Q3))
-    return doc[at], begin - first[doc[at]], n, low[at], block
+    return doc[at], start[at], np.diff(np.append(at, len(start))), low[at]
 
 
 def _lists(index: np.ndarray, rows: int, values: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -70,35 +64,36 @@ def _lists(index: np.ndarray, rows: int, values: np.ndarray, kind: pa.DataType)
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, length: int, anchor: int) -> DataFrame:
-    """uid, row, doc_id, n_words, the hash of all words, and the runs of each row."""
+    """uid, row, doc_id, n_words, the hash of all words, and the runs of each row: anchor, block in two longs, first word, number of windows."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in texts.blocks(batch.column(3)):
                 starts, ends, first = texts.words(data, offsets)
-                raw, n = data.tobytes(), hi - lo
-                shas = [hashlib.sha256(b" ".join(raw[a:b].split())).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                doc, begin, count, low, block = _runs(texts.word_hashes(data, starts, ends), first, length, anchor)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(lo, n) for i in range(3)), pa.array(np.diff(first)), pa.array(shas), _lists(doc, n, texts.signed(low), pa.int64()), _lists(doc, n, texts.signed(block), pa.int64()), _lists(doc, n, begin.astype(np.int32), pa.int32()), _lists(doc, n, count.astype(np.int32), pa.int32())],
-                    ["uid", "row", "doc_id", "n_words", "sha", "anchor", "block", "begin", "n"],
-                )
+                n = hi - lo
+                parts, joined, word, stop = texts.joined_words(data.tobytes(), offsets, starts, ends)
+                shas = [hashlib.sha256(p).hexdigest() for p in parts]
+                doc, start, count, low = _runs(texts.word_hashes(data, starts, ends), first, length, anchor)
+                block = texts.digests(joined, word[start], stop[start + count + length - 2])
+                begin = (start - first[doc]).astype(np.int32)
+                lists = [_lists(doc, n, v, t) for v, t in ((texts.signed(low), pa.int64()), (block[:, 0], pa.int64()), (block[:, 1], pa.int64()), (begin, pa.int32()), (count.astype(np.int32), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, n) for i in range(3)), pa.array(np.diff(first)), pa.array(shas), *lists], ["uid", "row", "doc_id", "n_words", "sha", "anchor", "block1", "block2", "begin", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = scratch.identified(slim, "row").select(F.monotonically_increasing_id().alias("uid"), "row", "doc_id", "text")
-    return scratch.map_arrow(scratch.spread(rows), read, f"uid long, row struct<file: long, place: long>, doc_id {kind}, n_words long, sha string, anchor array<long>, block array<long>, begin array<int>, n array<int>")
+    return scratch.map_arrow(scratch.spread(rows), read, f"uid long, row struct<file: long, place: long>, doc_id {kind}, n_words long, sha string, anchor array<long>, block1 array<long>, block2 array<long>, begin array<int>, n array<int>")
 
 
 def _hash_windows(checked: DataFrame, length: int) -> DataFrame:
-    """uid, doc_id, begin and two hashes of every window of the runs in ``check``."""
+    """uid, doc_id, begin and 128 bits of every window of the runs in ``check``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             check = batch.column(3)
             for lo, hi, data, offsets in texts.blocks(batch.column(2)):
                 starts, ends, first = texts.words(data, offsets)
-                h = texts.word_hashes(data, starts, ends)
+                _, joined, word, stop = texts.joined_words(data.tobytes(), offsets, starts, ends)
                 part = check.slice(lo, hi - lo)
                 of = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy(zero_copy_only=False))
                 run = part.flatten()
@@ -110,8 +105,8 @@ def _hash_windows(checked: DataFrame, length: int) -> DataFrame:
                 doc = of[which]
                 here = first[doc] + at
                 index = pa.array(lo + doc)
-                one, two = (texts.signed(texts.mix64(texts.rolling(h, length, q)[here])) for q in (_Q3, _Q4))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(at.astype(np.int32)), pa.array(one), pa.array(two)], ["uid", "doc_id", "begin", "h1", "h2"])
+                window = texts.digests(joined, word[here], stop[here + length - 1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(at.astype(np.int32)), pa.array(window[:, 0]), pa.array(window[:, 1])], ["uid", "doc_id", "begin", "h1", "h2"])
 
     kind = checked.schema["doc_id"].dataType.simpleString()
     return scratch.map_arrow(checked.select("uid", "doc_id", "text", "check"), read, f"uid long, doc_id {kind}, begin int, h1 long, h2 long")
@@ -176,16 +171,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("anchor must be from 1 to length")
     docs = scratch.placed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     slim = scratch.materialize(scan(docs, "doc_id", "text", length, anchor), "runs")
-    runs = slim.select("uid", "doc_id", F.inline(F.arrays_zip("anchor", "block", "begin", "n")))
+    runs = slim.select("uid", "doc_id", F.inline(F.arrays_zip("anchor", "block1", "block2", "begin", "n")))
 
+    block = ["anchor", "block1", "block2"]
     # Blocks that several rows hold, or whose anchor stands in several blocks.
-    blocks = runs.groupBy("anchor", "block").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("held"))
+    blocks = runs.groupBy(*block).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("held"))
     blocks = scratch.materialize(blocks, "blocks")
     mixed = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("differ")).where("differ > 1")
-    known = scratch.materialize(blocks.join(mixed, "anchor", "left").where("held > 1 or differ > 1").select("anchor", "block", "least", (F.coalesce("differ", F.lit(1)) > 1).alias("open")), "known")
+    known = scratch.materialize(blocks.join(mixed, "anchor", "left").where("held > 1 or differ > 1").select(*block, "least", (F.coalesce("differ", F.lit(1)) > 1).alias("open")), "known")
     scratch.drop(blocks)
     later = F.col("least").isNotNull() & (F.col("doc_id").isNull() | (F.col("least") < F.col("doc_id")))
-    found = runs.join(known, ["anchor", "block"]).select("uid", "begin", "n", later.alias("repeated"), "open").where("repeated or open")
+    found = runs.join(known, block).select("uid", "begin", "n", later.alias("repeated"), "open").where("repeated or open")
     run = F.struct("begin", "n")
     per_row = found.groupBy("uid").agg(F.collect_list(F.when(F.col("repeated"), run)).alias("sure"), F.collect_list(F.when(~F.col("repeated"), run)).alias("check"))
     plain = slim.select("uid", "row", "doc_id", "n_words", "sha")

@@ -6,11 +6,13 @@ occur inside a multi-byte UTF-8 sequence, so words can be found on bytes.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: The word separators of all operators here.
 SEPARATORS = b" \t\n\x0b\x0c\r"
@@ -18,12 +20,12 @@ WORDS_SPLIT = "[\\x20\\x09-\\x0D]+"
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SEPARATORS)] = True
-_rng = np.random.default_rng(20240229)
-_BYTE_KEYS = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xFF51AFD7ED558CCD)
 _M2 = np.uint64(0xC4CEB9FE1A85EC53)
-_powers = np.ones(1, np.uint64)
+#: Masks of the first 0 to 8 bytes of eight.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_LONG = 128
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -80,20 +82,50 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    global _powers
+    """A 64-bit hash of each word's bytes.
+
+    Bytes go in by eights, each eight through a mix of all bits before the next, so that
+    no two words collide by the form of the hash; those of one length up to 8 never do.
+    Words over ``_LONG`` bytes are hashed one by one.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     lens = ends - starts
-    longest = int(lens.max())
-    if len(_powers) < longest:
-        _powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(2 * longest, _P))), dtype=np.uint64)
-    first = np.cumsum(lens) - lens
-    place = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(first, lens)
-    body = data[place + np.repeat(starts, lens)]
-    powers = _powers[:longest] if len(_powers) < 1 << 20 else _powers
-    h = np.add.reduceat(_BYTE_KEYS[body] * powers[place], first)
-    return mix64(h + lens.astype(np.uint64) * _M2)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    h = mix64((eight[starts] & _MASK[np.minimum(lens, 8)]) ^ mix64(lens.astype(np.uint64) * _M2 + _P))
+    for at in range(8, min(int(lens.max()), _LONG), 8):
+        more = np.flatnonzero(lens > at)
+        h[more] = mix64(h[more] * _P + (eight[starts[more] + at] & _MASK[np.minimum(lens[more] - at, 8)]))
+    for i in np.flatnonzero(lens > _LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return h
+
+
+def chained(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` elements, each element mixed in before the next; ends that don't fit are left out."""
+    n = len(h) - k + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    out = h[:n]
+    for i in range(1, k):
+        out = mix64(out * _P + h[i : i + n])
+    return mix64(out + np.uint64(k))
+
+
+def joined_words(raw: bytes, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], bytes, np.ndarray, np.ndarray]:
+    """Each text's words joined by single spaces, all of them one after the other, and where each word starts and ends there."""
+    parts = [b" ".join(raw[a:b].split()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    size = ends - starts + 1
+    begin = np.cumsum(size) - size
+    return parts, b" ".join(filter(None, parts)), begin, begin + size - 1
+
+
+def digests(joined: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2b of each stretch of bytes, as two longs."""
+    view = memoryview(joined)
+    out = b"".join(hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True))
+    return np.frombuffer(out, np.int64).reshape(-1, 2)
 
 
 def rolling(h: np.ndarray, k: int, q: int) -> np.ndarray:

@@ -39,3 +39,13 @@ def corpus():
     rows += [(5, "a doc_id that stands twice"), (5, "a doc_id that stands twice"), (None, passage), (None, None)]
     rng.shuffle(rows)
     return [(i, t, rng.choice(["en", "de", None]), rng.choice(["src1", "src2", "src10", "é", None])) for i, t in rows]
+
+
+@pytest.fixture(scope="session")
+def twin_words():
+    """Pairs of different words that hashes which are sums of bytes by powers can't tell apart: Thue-Morse orders and their complements."""
+    out = []
+    for n in (16, 64, 128, 512, 1024, 2048):
+        order = [bin(i).count("1") % 2 for i in range(n)]
+        out.append(tuple("".join("ab"[b ^ flip] for b in order) for flip in (0, 1)))
+    return out

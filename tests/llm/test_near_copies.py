@@ -186,3 +186,10 @@ def test_candidates():
             a, b = near_copies.filled(low, full).reshape(2, 32, 8)
             missed += not (a == b).all(axis=1).any()
     assert missed <= 8
+
+
+def test_words_alike_in_sum(docs_of, twin_words):
+    """Texts of one word each, which hashes may confuse, are no copies."""
+    rows = [(10 * n + k, word) for n, pair in enumerate(twin_words) for k, word in enumerate(pair)]
+    got = near_copies.near_copies(docs_of(rows)).collect()
+    assert len(got) == len(rows) and all(r["keeper"] and r["component_id"] == r["doc_id"] for r in got)

@@ -48,6 +48,19 @@ def test_repetitive_texts(docs_of):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 50)
 
 
+@pytest.mark.parametrize("place", [0, 25, 49])
+def test_words_alike_in_sum(docs_of, twin_words, place):
+    """A word that hashes may confuse with another makes a window of its own."""
+    rows = []
+    for n, pair in enumerate(twin_words):
+        for k, word in enumerate(pair):
+            words = [f"w{n}x{i}" for i in range(49)]
+            rows.append((10 * n + k, " ".join([*words[:place], word, *words[place:]])))
+    got = substring_dedup.substring_dedup(docs_of(rows)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 50)
+    assert all(r["n_removed"] == 0 for r in got.collect())
+
+
 def test_empty(docs_of):
     assert substring_dedup.substring_dedup(docs_of([])).count() == 0
 

@@ -39,6 +39,33 @@ def test_rolling_and_minimum(values, k):
     assert texts.window_min(h, k).tolist() == [min(values[i : i + k]) for i in range(len(values) - k + 1)]
 
 
+def test_hashes_tell_words_apart(twin_words):
+    """Words of any length by any one byte, and those that sums of bytes confuse; runs by order as well."""
+    words = [w for pair in twin_words for w in pair] + [("x" * i + c + "x" * (n - 1 - i)) for n in (1, 7, 8, 9, 16, 127, 128, 129, 300) for i in {0, n // 2, n - 1} for c in "yz"]
+    words += ["a" * n for n in range(1, 140)] + ["\x00" * n for n in range(1, 20)]
+    words = list(dict.fromkeys(words))
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    h = texts.word_hashes(data, ends - [len(w) for w in words], ends)
+    assert len(set(h.tolist())) == len(words)
+    for k in (1, 2, 5):
+        runs = texts.chained(h[:60], k)
+        assert len(runs) == 61 - k and len(set(runs.tolist())) == 61 - k
+        assert k == 1 or not set(runs.tolist()) & set(texts.chained(h[:60][::-1].copy(), k).tolist())
+    assert len(texts.chained(h[:3], 4)) == 0
+
+
+def test_digests_of_words():
+    rows = ["  a b\tc ", "", " \n", "d", "é f"]
+    (_, _, data, offsets), = texts.blocks(pa.array(rows, pa.string()))
+    starts, ends, _ = texts.words(data, offsets)
+    parts, joined, begin, end = texts.joined_words(data.tobytes(), offsets, starts, ends)
+    assert parts == [b"a b c", b"", b"", b"d", "é f".encode()] and joined == "a b c d é f".encode()
+    assert [joined[a:b].decode() for a, b in zip(begin, end, strict=True)] == ["a", "b", "c", "d", "é", "f"]
+    got = texts.digests(joined, begin[[0, 0]], end[[1, 1]])
+    assert got.shape == (2, 2) and (got[0] == got[1]).all() and texts.digests(joined, begin[:0], end[:0]).shape == (0, 2)
+
+
 def test_sliced_and_large_columns():
     column = pa.array(["skip", "a b", None, "c"], pa.large_string()).slice(1)
     (lo, hi, data, offsets), *rest = texts.blocks(column)
