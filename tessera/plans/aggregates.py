@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.tables import table, views
+from tessera.tables import table, tables
 
 
 def _money(c: str):
@@ -81,8 +81,7 @@ def cube_sets(spark: SparkSession, d: str) -> DataFrame:
 
 def grouping_sets(spark: SparkSession, d: str) -> DataFrame:
     """A9"""
-    views(spark, d, "events")
-    return spark.sql("SELECT event_type, user_id, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type), (user_id), ())")
+    return spark.sql("SELECT event_type, user_id, count(*) AS n FROM {events} GROUP BY GROUPING SETS ((event_type), (user_id), ())", **tables(spark, d, "events"))
 
 
 def pivot_status(spark: SparkSession, d: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import aggregates, dialogues, joins, scalars, streams, user_functions, vectors, windows
+from tessera.plans import aggregates, dialogues, documents, joins, scalars, streams, user_functions, vectors, windows
 
-MODULES = (joins, aggregates, windows, scalars, dialogues, vectors, streams, user_functions)
+MODULES = (joins, aggregates, windows, scalars, dialogues, documents, vectors, streams, user_functions)
 FLAGSHIP = "conv_summary"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.asof import asof_join
 from tessera.operators.contains import substring_join
-from tessera.operators.ranges import interval_join
-from tessera.tables import table, views
+from tessera.operators.ranges import interval_join, overlap_join
+from tessera.tables import table, tables
 
 
 def scan_filter_project(spark: SparkSession, d: str) -> DataFrame:
@@ -66,6 +67,15 @@ def bucketed_range_join(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("p_brand").agg(F.count("*").alias("parts"), F.sum("cents").cast("bigint").alias("cents"))
 
 
+def history_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """J4 over two tables of intervals: what two sources said of a client at one time; a saying holds until the source's next one."""
+    c = table(spark, d, "client_changes").where("client_id IS NOT NULL AND valid_at IS NOT NULL").select("client_id", "source", F.unix_micros(F.col("valid_at").cast("timestamp")).alias("at")).distinct()
+    spans = c.withColumn("until", F.lead("at").over(W.partitionBy("client_id", "source").orderBy("at"))).where("until IS NOT NULL")
+    crm, web = (spans.where(F.col("source") == s).select("client_id", F.col("at").alias(f"{s}_from"), F.col("until").alias(f"{s}_to")) for s in ("crm", "web"))
+    day = 86_400_000_000
+    return overlap_join(crm, web, (F.col("crm_from"), F.col("crm_to")), (F.col("web_from"), F.col("web_to")), day, ["client_id"])
+
+
 def asof_previous(spark: SparkSession, d: str) -> DataFrame:
     """Each purchase with its user's latest view before it."""
     e = table(spark, d, "events")
@@ -77,44 +87,42 @@ def asof_previous(spark: SparkSession, d: str) -> DataFrame:
 
 def subqueries(spark: SparkSession, d: str) -> DataFrame:
     """A correlated scalar, EXISTS and LATERAL in one statement."""
-    views(spark, d, "orders", "customer", "nation")
     return spark.sql("""
         SELECT c.c_custkey, n.n_name, last.latest,
-               (SELECT count(*) FROM orders o WHERE o.o_custkey = c.c_custkey) AS n_orders
-        FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey,
-             LATERAL (SELECT max(o_orderdate) AS latest FROM orders o WHERE o.o_custkey = c.c_custkey) last
-        WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')
-    """)
+               (SELECT count(*) FROM {orders} o WHERE o.o_custkey = c.c_custkey) AS n_orders
+        FROM {customer} c JOIN {nation} n ON n.n_nationkey = c.c_nationkey,
+             LATERAL (SELECT max(o_orderdate) AS latest FROM {orders} o WHERE o.o_custkey = c.c_custkey) last
+        WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')
+    """, **tables(spark, d, "orders", "customer", "nation"))
 
 
 def contained_names(spark: SparkSession, d: str) -> DataFrame:
     """Parts whose name contains a type's name."""
     parts = table(spark, d, "part").select("p_partkey", "p_name")
     types = table(spark, d, "part").select(F.lower("p_type").alias("kind")).distinct()
-    return substring_join(parts, types, F.lower("p_name"), F.col("kind")).select("p_partkey", "kind")
+    return substring_join(parts, types, F.lower("p_name"), F.col("kind"), ["p_partkey"])
 
 
 def contained_passages(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the benchmark passages that they contain."""
     documents = table(spark, d, "documents").select("doc_id", "text")
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    return substring_join(documents, items, F.col("text"), F.col("passage"), gram=24).select("doc_id", "item_id")
+    return substring_join(documents, items, F.col("text"), F.col("passage"), ["doc_id"]).select("doc_id", "item_id")
 
 
 def recursive_cte(spark: SparkSession, d: str) -> DataFrame:
     """Nations by steps through keys that follow each other within a region."""
-    views(spark, d, "nation")
     return spark.sql("""
         WITH RECURSIVE walk(n_nationkey, n_regionkey, step) AS (
-            SELECT n_nationkey, n_regionkey, 0 FROM nation WHERE n_nationkey < 5
+            SELECT n_nationkey, n_regionkey, 0 FROM {nation} WHERE n_nationkey < 5
             UNION ALL
             SELECT n.n_nationkey, n.n_regionkey, w.step + 1
-            FROM walk w JOIN nation n ON n.n_regionkey = w.n_regionkey AND n.n_nationkey = w.n_nationkey + 5)
+            FROM walk w JOIN {nation} n ON n.n_regionkey = w.n_regionkey AND n.n_nationkey = w.n_nationkey + 5)
         SELECT n_nationkey, n_regionkey, step FROM walk
-    """)
+    """, **tables(spark, d, "nation"))
 
 
-QUERIES = {f.__name__: f for f in (scan_filter_project, semi_join, anti_join, full_join, star_join, time_range_join, bucketed_range_join, asof_previous, subqueries, contained_names, contained_passages, recursive_cte)}
+QUERIES = {f.__name__: f for f in (scan_filter_project, semi_join, anti_join, full_join, star_join, time_range_join, bucketed_range_join, history_overlaps, asof_previous, subqueries, contained_names, contained_passages, recursive_cte)}
 ORACLE_SQL = {
     "scan_filter_project": "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_quantity < 10",
     "semi_join": "SELECT o_orderkey, o_orderdate FROM orders SEMI JOIN lineitem ON o_orderkey = l_orderkey",
@@ -135,6 +143,12 @@ ORACLE_SQL = {
         WITH p AS (SELECT p_brand, CAST(round(CAST(p_retailprice AS DECIMAL(12,2)) * 100) AS BIGINT) AS cents FROM part),
         c AS (SELECT p_brand, min(cents) AS low FROM p GROUP BY 1)
         SELECT c.p_brand, count(*) AS parts, CAST(sum(cents) AS BIGINT) AS cents FROM p JOIN c ON cents >= low AND cents < low + 500 GROUP BY 1""",
+    "history_overlaps": """
+        WITH c AS (SELECT DISTINCT client_id, source, epoch_us(valid_at) AS us FROM client_changes WHERE client_id IS NOT NULL AND valid_at IS NOT NULL),
+        s AS (SELECT *, lead(us) OVER (PARTITION BY client_id, source ORDER BY us) AS until FROM c)
+        SELECT a.client_id, a.us AS crm_from, a.until AS crm_to, b.us AS web_from, b.until AS web_to
+        FROM s a JOIN s b ON a.client_id = b.client_id AND a.us < b.until AND b.us < a.until
+        WHERE a.source = 'crm' AND b.source = 'web' AND a.until IS NOT NULL AND b.until IS NOT NULL""",
     "asof_previous": """
         SELECT b.event_id, b.user_id, v.event_id AS seen_id
         FROM (SELECT * FROM events WHERE event_type = 'purchase') b

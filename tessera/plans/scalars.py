@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip_html, tokens, upper_eszett
-from tessera.tables import table, views
+from tessera.tables import table, tables
 
 _ADDRESS = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
 
@@ -86,10 +86,9 @@ def math_functions(spark: SparkSession, d: str) -> DataFrame:
 
 def null_functions(spark: SparkSession, d: str) -> DataFrame:
     """F11"""
-    views(spark, d, "part")
     return spark.sql("""
         SELECT p_partkey, try_cast(p_name AS int) AS number, try_divide(CAST(p_size AS double), p_partkey % 5) AS ratio, nullif(p_type, 'SMALL') AS kind,
-               coalesce(nullif(p_brand, 'Brand#1'), 'none') AS brand, CAST(greatest(p_size, 10) AS bigint) AS most, CAST(least(p_size, 10) AS bigint) AS least FROM part""")
+               coalesce(nullif(p_brand, 'Brand#1'), 'none') AS brand, CAST(greatest(p_size, 10) AS bigint) AS most, CAST(least(p_size, 10) AS bigint) AS least FROM {part}""", **tables(spark, d, "part"))
 
 
 def page_fields(spark: SparkSession, d: str) -> DataFrame:

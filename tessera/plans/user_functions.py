@@ -29,8 +29,7 @@ def udf_map_batches(spark: SparkSession, d: str) -> DataFrame:
 
 def udf_table(spark: SparkSession, d: str) -> DataFrame:
     spark.udtf.register("halves", halves())
-    table(spark, d, "part").select("p_partkey", "p_name").createOrReplaceTempView("part_names")
-    return spark.sql("SELECT p_partkey, place, half FROM part_names, LATERAL halves(p_name)")
+    return spark.sql("SELECT p_partkey, place, half FROM {names}, LATERAL halves(p_name)", names=table(spark, d, "part").select("p_partkey", "p_name"))
 
 
 QUERIES = {f.__name__: f for f in (udf_scalar, udf_aggregate, udf_grouped_map, udf_map_batches, udf_table)}

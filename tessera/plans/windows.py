@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.sessions import sessionize
 from tessera.operators.topk import top_k
-from tessera.tables import table, views
+from tessera.tables import table, tables
 
 
 def ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -34,8 +34,7 @@ def rows_frame(spark: SparkSession, d: str) -> DataFrame:
 
 def range_frame(spark: SparkSession, d: str) -> DataFrame:
     """Events of the user in the hour up to each."""
-    views(spark, d, "events")
-    return spark.sql("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM events")
+    return spark.sql("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM {events}", **tables(spark, d, "events"))
 
 
 def above_average(spark: SparkSession, d: str) -> DataFrame:

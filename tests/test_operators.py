@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from tessera.functions.text import ngrams, strip_html, tokens
 from tessera.functions.vectors import cosine
 from tessera.operators.asof import asof_join
-from tessera.operators.contains import substring_join
 from tessera.operators.nearest import nearest
-from tessera.operators.ranges import interval_join
+from tessera.operators.ranges import interval_join, overlap_join
 from tessera.operators.sessions import sessionize
 from tessera.operators.slices import with_slices
 from tessera.operators.topk import top_k
@@ -43,23 +42,29 @@ def test_interval_join(spark):
     assert sorted((r["p"], r["i"]) for r in got.collect()) == sorted((p, i) for p, x in points for i, a, b in spans if a <= x < b)
 
 
-def test_substring_join(spark):
-    rows, wanted = [(1, "abcabcab"), (2, "abc"), (3, None), (4, "xxbcabx")], ["abca", "bcab", "zzzz", "ab", None]
-    texts, patterns = spark.createDataFrame(rows, "id int, t string"), spark.createDataFrame([(p,) for p in wanted], "p string")
-    got = substring_join(texts, patterns, F.col("t"), F.col("p"))
-    assert sorted((r["id"], r["p"]) for r in got.collect()) == sorted((i, p) for i, t in rows for p in wanted if t and p and p in t)
+def test_intervals_of_any_length(spark):
+    """Lengths over many orders of magnitude, infinite ends, nulls and NaN, names that the join could use."""
+    rng, inf, nan = random.Random(5), float("inf"), float("nan")
+    points = [(i, rng.choice([1, -1]) * 10 ** rng.uniform(-3, 12)) for i in range(60)] + [(60, None), (61, nan), (62, 0.0), (63, inf), (64, -inf)]
+    spans = [(i, s := rng.choice([1, -1]) * 10 ** rng.uniform(-3, 12), s + 10 ** rng.uniform(-4, 13)) for i in range(60)]
+    spans += [(60, -inf, inf), (61, 0.0, inf), (62, -inf, -1.0), (63, None, 5.0), (64, 1.0, nan), (65, 5.0, 5.0), (66, 0.0, 3e9)]
+    left = spark.createDataFrame([(*p, "x") for p in points], "p int, x double, _bucket string")
+    right = spark.createDataFrame([(*r, "y", "z") for r in spans], "i int, a double, b double, level string, bucket string")
+    got = interval_join(left, right, F.col("x"), F.col("a"), F.col("b"), 1.0)
+    assert got.columns == [*left.columns, *right.columns]
+    want = sorted((p, i) for p, x in points for i, a, b in spans if None not in (x, a, b) and a <= x < b)
+    assert sorted((r["p"], r["i"]) for r in got.collect()) == want
+    longs = interval_join(spark.range(3).select((F.col("id") * 10**9).alias("t")), spark.createDataFrame([(0, 3 * 10**9)], "a long, b long"), F.col("t"), F.col("a"), F.col("b"), 1)
+    assert longs.count() == 3
 
 
-def test_substring_join_of_many_starts(spark, monkeypatch):
+def test_overlaps(spark):
     rng = random.Random(6)
-    rows = [(i, "".join(rng.choice("abc") for _ in range(rng.randrange(30)))) for i in range(40)]
-    wanted = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(60)]
-    texts, patterns = spark.createDataFrame(rows, "id int, t string"), spark.createDataFrame([(p,) for p in set(wanted)], "p string")
-    for most, sent in ((1000, 1000), (2, 1000), (2, 2)):
-        monkeypatch.setattr("tessera.operators.contains._STARTS", most)
-        monkeypatch.setattr("tessera.operators.contains._BROADCAST", sent)
-        got = substring_join(texts, patterns, F.col("t"), F.col("p"))
-        assert sorted((r["id"], r["p"]) for r in got.collect()) == sorted((i, p) for i, t in rows for p in set(wanted) if p in t)
+    make = lambda n: [(i, rng.randrange(2), s := rng.randrange(200), s + rng.choice([0, 1, 5, 90])) for i in range(n)]
+    left, right = make(60), make(50)
+    a, b = spark.createDataFrame(left, "i int, k int, s int, e int"), spark.createDataFrame(right, "j int, k int, t int, f int")
+    got = overlap_join(a, b, (F.col("s"), F.col("e")), (F.col("t"), F.col("f")), 4, ["k"])
+    assert sorted((r["i"], r["j"]) for r in got.collect()) == sorted((i, j) for i, k, s, e in left for j, m, t, f in right if k == m and max(s, t) < min(e, f))
 
 
 def test_nearest_breaks_ties_by_id(spark):
