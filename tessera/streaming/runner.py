@@ -6,10 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tessera.tables import table
 
@@ -30,6 +31,13 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own[0]
 
 
+def delete(spark: SparkSession, *folders: str) -> None:
+    """Delete folders of the session's own, on whatever file system they are."""
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def events(spark: SparkSession, d: str, path: str | None = None) -> DataFrame:
     """The events as a stream of files, with ``ts`` as a time stamp that watermarks accept."""
     schema = table(spark, d, "events").schema
@@ -51,6 +59,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", out).start().awaitTermination()
+        delete(spark, f"{base}/state")
         return spark.read.schema(stream.schema).parquet(out)
     batches: list[int] = []
 
@@ -59,17 +68,19 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
         batches.append(batch)
 
     writer.foreachBatch(write).start().awaitTermination()
+    delete(spark, f"{base}/state")
     if not batches:
         return spark.createDataFrame([], stream.schema)
     wanted = batches[-1:] if mode == "complete" else sorted(set(batches))
     return spark.read.schema(stream.schema).parquet(*[f"{out}/batch={b}" for b in wanted])
 
 
-def drain_arrivals(arrivals: Iterable[DataFrame], query: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def drain_arrivals(arrivals: Iterable[DataFrame], query: Callable[[DataFrame], DataFrame], conf: Mapping[str, str] | None = None, watch: Callable[[StreamingQuery], None] | None = None) -> DataFrame:
     """All rows that a query in append mode emits over a stream whose rows arrive in the given portions.
 
     The stream goes on from its checkpoint after each portion, so that the watermark
-    that a portion meets is that of all rows before it.
+    that a portion meets is that of all rows before it. The portions and the checkpoint
+    are deleted at the end. conf: settings while it runs. watch: called after each portion.
     """
     out = None
     for rows in arrivals:
@@ -77,10 +88,21 @@ def drain_arrivals(arrivals: Iterable[DataFrame], query: Callable[[DataFrame], D
         if out is None:
             base = f"{shared_folder(spark)}/tessera-streams/{uuid.uuid4().hex}"
         rows.write.mode("append").parquet(f"{base}/in")
-        stream = query(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
-        writer = stream.writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-        writer.format("parquet").option("path", f"{base}/out").start().awaitTermination()
+        before = {k: spark.conf.get(k, None) for k in conf or ()}
+        try:
+            for k, v in (conf or {}).items():
+                spark.conf.set(k, v)
+            stream = query(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+            writer = stream.writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+            running = writer.format("parquet").option("path", f"{base}/out").start()
+            running.awaitTermination()
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        if watch:
+            watch(running)
         out = spark.read.schema(stream.schema).parquet(f"{base}/out")
     if out is None:
         raise ValueError("at least one portion is needed")
+    delete(spark, f"{base}/in", f"{base}/state")
     return out
