@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +22,8 @@ def _blocks(df: DataFrame, id_col: str, vector_col: str, size: int, name: str) -
     return df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), vector_col).mapInArrow(gather, f"{name}_ids array<long>, {name}_values array<double>")
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, id_col: str, vector_col: str, query_block: int = 256, row_block: int = 4096, held: int = 16_384) -> DataFrame:
-    """query_id, id, similarity and rank of the ``k`` rows with the largest dot product, other than the query itself.
-
-    Vectors have one length. Blocks of queries meet blocks of rows; a pair of blocks
-    is one matrix product and leaves k rows per query, which a window merges. Ties
-    go to the smaller id.
-
-    Up to ``held`` queries are broadcast to the blocks of rows. More are dealt over
-    groups of about that many, and rows over as many parts as a shuffle has; blocks of a
-    group and a part meet by an equi-join, so that no task holds more than a group.
-    """
+def block_product(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows of q_ids, q_values, r_ids, r_values: query_id, id and similarity of the ``k`` best of a block of rows for each query of a block."""
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,7 +42,24 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, id_col: str, vector_col
                 which, place = which[first], place[first]
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[which]), pa.array(r_ids[place]), pa.array(s[which, place])], ["query_id", "id", "similarity"])
 
+    return product
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, id_col: str, vector_col: str, query_block: int = 256, row_block: int = 4096, held: int = 16_384, held_bytes: int = 64 << 20) -> DataFrame:
+    """query_id, id, similarity and rank of the ``k`` rows with the largest dot product, other than the query itself.
+
+    Vectors have one length. Blocks of queries meet blocks of rows; a pair of blocks
+    is one matrix product and leaves k rows per query, which a window merges. Ties
+    go to the smaller id.
+
+    Up to ``held`` queries of up to ``held_bytes`` in all are broadcast to the blocks of
+    rows. More are dealt over groups of about that many, and rows over as many parts as a shuffle has; blocks of a
+    group and a part meet by an equi-join, so that no task holds more than a group.
+    """
+
     r, q = _blocks(rows, id_col, vector_col, row_block, "r"), _blocks(queries, id_col, vector_col, query_block, "q")
+    longest = queries.agg(F.max(F.size(vector_col))).first()[0] or 0
+    held = max(min(held, held_bytes // (8 * max(longest, 1))), 1)
     if queries.limit(held + 1).count() <= held:
         pairs = r.crossJoin(F.broadcast(q))
     else:
@@ -62,6 +70,6 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, id_col: str, vector_col
 
         pairs = dealt(r, "r_ids", "part", parts, "group", groups).join(dealt(q, "q_ids", "group", groups, "part", parts), ["group", "part"])
     pairs = pairs.select("q_ids", "q_values", "r_ids", "r_values")
-    found = pairs.mapInArrow(product, "query_id long, id long, similarity double")
+    found = pairs.mapInArrow(block_product(k), "query_id long, id long, similarity double")
     over = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
     return found.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import ngrams, strip_html, tokens
 from tessera.functions.vectors import cosine
 from tessera.operators.asof import asof_join
+from tessera.operators.cells import CellIndex
 from tessera.operators.nearest import nearest
 from tessera.operators.ranges import interval_join, overlap_join
 from tessera.operators.sessions import sessionize
@@ -86,6 +87,28 @@ def test_nearest_against_all_pairs(spark, held):
         assert [got[q, k] for k in range(1, 5)] == [i for _, i in want]
 
 
+def test_cells_find_neighbours(spark, tmp_path):
+    """Every row is in the stored index; all cells give the exact answer, fewer give most of it; null vectors and an empty table."""
+    rng = random.Random(3)
+    centres = [[rng.gauss(0, 4) for _ in range(5)] for _ in range(12)]
+    rows = [(i, [rng.gauss(c, 1) for c in rng.choice(centres)]) for i in range(1500)] + [(2000, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    built = CellIndex.build(df, "id", "v", f"{tmp_path}/index", cells=16, sample=1000)
+    index = CellIndex.read(spark, f"{tmp_path}/index")
+    assert index.rows.count() == 1500 and len(index.centres) == 16 and (index.centres == built.centres).all()
+    asked = df.where("id % 50 = 0")
+    floats = df.select("id", F.col("v").cast("array<float>").alias("v"))
+    exact = {(r["query_id"], r["rank"]): r["id"] for r in nearest(floats.where("id % 50 = 0"), floats, 4, "id", "v").collect()}
+    every = {(r["query_id"], r["rank"]): r["id"] for r in index.search(asked, 4, "id", "v", 16, row_block=100, query_block=7).collect()}
+    assert every == exact and len(exact) == 120
+    probes = index.probes(4, 0.95)
+    assert probes < 16
+    some = {(r["query_id"], r["id"]) for r in index.search(asked, 4, "id", "v", probes).collect()}
+    assert len(some & {(q, i) for (q, _), i in exact.items()}) >= 0.9 * len(exact)
+    empty = CellIndex.build(df.where("false"), "id", "v", f"{tmp_path}/none")
+    assert empty.search(asked.where("false"), 4, "id", "v", empty.probes(4, 0.9)).count() == 0
+
+
 def test_sessions_and_top_k(spark):
     t0 = dt.datetime(2024, 1, 1)
     e = spark.createDataFrame([(1, t0), (1, t0 + dt.timedelta(seconds=9)), (1, t0 + dt.timedelta(seconds=19)), (2, t0)], "u int, ts timestamp_ntz")
