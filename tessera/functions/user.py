@@ -8,7 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 
 def vowel_count():
@@ -67,3 +70,36 @@ def halves():
                 yield 1, text[middle:]
 
     return Halves
+
+
+def kind_counts():
+    """Table function over a partitioned table: the partition's key and a count for each named kind.
+
+    Arguments: the table, partitioned by its first column, with the kind in its second, and
+    the kinds as text with commas. Its columns depend on both. Rows are counted as they come.
+    """
+
+    @F.udtf
+    class KindCounts:
+        @staticmethod
+        def analyze(rows: AnalyzeArgument, kinds: AnalyzeArgument) -> AnalyzeResult:
+            if not rows.isTable or kinds.value is None:
+                raise ValueError("a table and a constant list of kinds are needed")
+            key = rows.dataType.fields[0]
+            counts = [StructField(f"n_{k.strip()}", LongType()) for k in kinds.value.split(",")]
+            return AnalyzeResult(StructType([StructField(key.name, key.dataType), *counts]))
+
+        def __init__(self):
+            self.key, self.counts = None, None
+
+        def eval(self, row: Row, kinds: str):
+            if self.counts is None:
+                self.key, self.counts = row[0], dict.fromkeys((k.strip() for k in kinds.split(",")), 0)
+            if row[1] in self.counts:
+                self.counts[row[1]] += 1
+
+        def terminate(self):
+            if self.counts is not None:
+                yield self.key, *self.counts.values()
+
+    return KindCounts

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.user import batches_of, halves, running_balance, spread, vowel_count
+from tessera.functions.user import batches_of, halves, kind_counts, running_balance, spread, vowel_count
 from tessera.tables import table
 
 
@@ -32,8 +32,18 @@ def udf_table(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT p_partkey, place, half FROM {names}, LATERAL halves(p_name)", names=table(spark, d, "part").select("p_partkey", "p_name"))
 
 
-QUERIES = {f.__name__: f for f in (udf_scalar, udf_aggregate, udf_grouped_map, udf_map_batches, udf_table)}
+def udf_partitioned_table(spark: SparkSession, d: str) -> DataFrame:
+    """U5 over a partitioned table, with columns by its arguments: a client's clicks of some kinds."""
+    spark.udtf.register("kind_counts", kind_counts())
+    clicks = table(spark, d, "clicks").select("client_id", "kind")
+    return spark.sql("SELECT * FROM kind_counts(TABLE(SELECT client_id, kind FROM {clicks}) PARTITION BY (client_id), 'view, purchase, error')", clicks=clicks)
+
+
+QUERIES = {f.__name__: f for f in (udf_scalar, udf_aggregate, udf_grouped_map, udf_map_batches, udf_table, udf_partitioned_table)}
 ORACLE_SQL = {
+    "udf_partitioned_table": """
+        SELECT client_id, count(*) FILTER (kind = 'view') AS n_view, count(*) FILTER (kind = 'purchase') AS n_purchase, count(*) FILTER (kind = 'error') AS n_error
+        FROM clicks GROUP BY client_id""",
     "udf_scalar": "SELECT p_partkey, CAST(len(regexp_extract_all(p_name, '[aeiou]')) AS BIGINT) AS vowels FROM part",
     "udf_aggregate": "SELECT user_id, max(value) - min(value) AS spread FROM events GROUP BY 1",
     "udf_grouped_map": """
