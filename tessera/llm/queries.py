@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hard_negatives, late_sessions, minhash, mixing, packing, quality, rollups, scratch, sharding, simhash, substring_dedup, toxicity, warc
+from . import exact_dedup, hard_negatives, late_sessions, minhash, mixing, near_copies, packing, quality, rollups, scratch, sharding, simhash, substring_dedup, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +103,11 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(pages, least=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def near_copy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies of all documents by MinHash bands and the trie, as in the pipeline: the row of each that stays, by group."""
+    return near_copies.near_copies(_documents(spark, sf_dir), shingle=5, similarity=0.8).select("doc_id", "component_id", F.col("keeper").alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_minhash_fingerprints": op2_minhash_fingerprints,
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_late_sessions": op11_late_sessions,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_warc": op13_warc,
+    "near_copy_groups": near_copy_groups,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -212,4 +218,17 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id <> most THEN most END AS refers_to
         FROM five
     """,
+    # All pairs by brute force: at this size the bands miss none.
+    "near_copy_groups": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS x FROM w),
+        c AS (SELECT doc_id, x, min(doc_id) OVER (PARTITION BY x) AS class_id FROM s),
+        r AS (SELECT class_id, len(x) AS n, unnest(x) AS t FROM c WHERE doc_id = class_id),
+        b AS (SELECT a.class_id AS u, b.class_id AS v, count(*) AS common, any_value(a.n + b.n) AS sizes FROM r a JOIN r b ON a.t = b.t AND a.class_id < b.class_id GROUP BY 1, 2),
+        e AS (SELECT u, v FROM b WHERE 10 * common >= 8 * (sizes - common) UNION SELECT v, u FROM b WHERE 10 * common >= 8 * (sizes - common)),
+        walk(a, z) AS (SELECT DISTINCT class_id, class_id FROM c UNION SELECT a, v FROM walk JOIN e ON u = z)
+        SELECT doc_id, least_id AS component_id, doc_id = least_id AS kept FROM c JOIN (SELECT a, min(z) AS least_id FROM walk GROUP BY a) ON a = class_id
+    """,
 }

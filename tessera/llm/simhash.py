@@ -6,7 +6,8 @@ soon as that is over the budget; pairs of small subtrees are compared outright.
 
 Fingerprints that differ in at most b bits agree on one of b + 1 blocks, so the
 trie is built once per block with that block's bits first, and each subtree below
-them is a task's work. A task returns a spanning forest of the links it found,
+them is a task's work; one of very many fingerprints is cut into parts, and each pair
+of parts is a task's. A task returns a spanning forest of the links it found,
 not the links, so a dense group of n fingerprints costs n rows. The forests are
 joined by alternating star contractions in written tables.
 """
@@ -14,7 +15,7 @@ joined by alternating star contractions in written tables.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -143,38 +144,71 @@ def trie_links(v: np.ndarray, top: int, budget: int) -> Iterator[tuple[np.ndarra
         stack.append((depth + 1, np.concatenate(new)))
 
 
-def links(distinct: DataFrame, budget: int = 4, bits: int = 64, parts: int | None = None) -> DataFrame:
-    """Spanning forests (u, v) of all links between fingerprints, one per task."""
+def _dealt(distinct: DataFrame, first: list[int], bits: int, most: int) -> DataFrame:
+    """b, k, i, j and t of each fingerprint in each block's table: turned so that the block leads, under its first bits.
+
+    A subtree of over ``most`` fingerprints is cut into parts by a hash, and each fingerprint
+    meets the others once for each pair (i, j) of parts that its own is of; i is null elsewhere.
+    """
+    fp = F.col("fp")
+    turned = [F.struct(F.lit(b).alias("b"), (fp if not first[b] else F.shiftleft(fp, first[b]).bitwiseOR(F.shiftrightunsigned(fp, bits - first[b]))).alias("t")) for b in range(len(first) - 1)]
+    least = min(b - a for a, b in pairwise(first))
+    spread = distinct.select(F.inline(F.array(*turned))).withColumn("k", F.shiftrightunsigned("t", bits - least))
+    # At most blocks * 2 ** least subtrees.
+    held = spread.groupBy("b", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("b", "k", (F.ceil(F.col("n") * 2 / most)).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("t"), F.col("parts")).cast("int")
+    cut = spread.join(F.broadcast(held), ["b", "k"], "left").withColumn("own", own)
+    every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least("own", p).alias("i"), F.greatest("own", p).alias("j")))
+    none = F.array(F.struct(F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("j")))
+    return cut.select("b", "k", "t", F.inline(F.when(F.col("parts").isNull(), none).otherwise(every))).select("b", "k", "i", "j", "t")
+
+
+def links(distinct: DataFrame, budget: int = 4, bits: int = 64, parts: int | None = None, most: int = 100_000) -> DataFrame:
+    """Spanning forests (u, v) of all links between fingerprints, one per task; a task holds about ``most`` fingerprints of a subtree at once."""
     spark = distinct.sparkSession
     blocks = budget + 1
     first = [bits * b // blocks for b in range(blocks + 1)]
     widths = [first[b + 1] - first[b] for b in range(blocks)]
-    fp = F.col("fp")
-    turned = [F.struct(F.lit(b).alias("b"), (fp if not first[b] else F.shiftleft(fp, first[b]).bitwiseOR(F.shiftrightunsigned(fp, bits - first[b]))).alias("t")) for b in range(blocks)]
-    spread = distinct.select(F.inline(F.array(*turned))).withColumn("k", F.shiftrightunsigned("t", bits - min(widths)))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if not got:
-            return
-        table, turn = (np.concatenate(x) for x in zip(*got, strict=True))
-        value = turn.view(np.uint64)
+    def forest(table: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         per, fps = {}, []
         for b in range(blocks):
             per[b] = np.unique(value[table == b])
             r = np.uint64(first[b])
             fps.append((per[b] >> r) | (per[b] << np.uint64(bits - first[b])) if first[b] else per[b])
         known = np.unique(np.concatenate(fps))
-        forest = _Forest(len(known))
+        joined = _Forest(len(known))
         for b in range(blocks):
             place = np.searchsorted(known, fps[b])
             for u, v in trie_links(per[b], widths[b], budget):
-                forest.link(place[u], place[v])
-        moved = np.flatnonzero(forest.root != np.arange(len(known)))
-        yield pa.RecordBatch.from_arrays([pa.array(known[moved].view(np.int64)), pa.array(known[forest.root[moved]].view(np.int64))], ["u", "v"])
+                joined.link(place[u], place[v])
+        moved = np.flatnonzero(joined.root != np.arange(len(known)))
+        return known[moved], known[joined.root[moved]]
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows of small subtrees come first and are one forest, each pair of parts is one of its own.
+        key, held = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("b", "k", "i", "j")]
+            cut = batch.column("i").is_valid().to_numpy(zero_copy_only=False)
+            keys = np.stack([np.where(cut, np.nan_to_num(c.astype(np.float64), nan=-1), -1).astype(np.int64) for c in columns], axis=1)
+            new = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in pairwise([0, *new.tolist(), len(keys)]):
+                if b > a and key != (at := tuple(keys[a].tolist())):
+                    yield from given(held)
+                    key, held = at, []
+                held.append((columns[0][a:b], batch.column("t").to_numpy()[a:b].view(np.uint64)))
+        yield from given(held)
+
+    def given(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if held:
+            u, v = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    return scratch.map_arrow(spread.repartition(parts, "b", "k").select("b", "t"), join, "u long, v long")
+    dealt = _dealt(distinct, first, bits, most).repartition(parts, "b", "k", "i", "j")
+    ordered = dealt.sortWithinPartitions(F.col("i").isNotNull(), *[F.when(F.col("i").isNotNull(), F.col(c)) for c in ("b", "k", "i", "j")])
+    return scratch.map_arrow(ordered.select("b", "k", "i", "j", "t"), join, "u long, v long")
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:

@@ -4,7 +4,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm import near_copies
+from parity import compare, connect
+
+from tessera.llm import near_copies, queries
 
 
 def words(rng, n):
@@ -193,3 +195,8 @@ def test_words_alike_in_sum(docs_of, twin_words):
     rows = [(10 * n + k, word) for n, pair in enumerate(twin_words) for k, word in enumerate(pair)]
     got = near_copies.near_copies(docs_of(rows)).collect()
     assert len(got) == len(rows) and all(r["keeper"] and r["component_id"] == r["doc_id"] for r in got)
+
+
+def test_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    compare(queries.near_copy_groups(spark, sf), connect(sf), queries.ORACLE_SQL["near_copy_groups"])

@@ -87,6 +87,30 @@ def test_chains_and_hubs(spark):
     assert simhash.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_hot_subtree(spark):
+    """One family with most of all fingerprints: parts stay small, and no link between them is lost."""
+    rng = np.random.default_rng(8)
+    fps = {0x123456789ABCDEF0, 0, 1, 2**64 - 1}
+    for _ in range(500):
+        x = 0x123456789ABCDEF0
+        for b in rng.integers(0, 64, 3).tolist():
+            x ^= 1 << b
+        fps.add(x)
+    fps |= {int(x) for x in rng.integers(0, 2**63, 100)}
+    df = spark.createDataFrame([(f - (f >> 63 << 64),) for f in fps], "fp long")
+    first = [64 * b // 5 for b in range(6)]
+    sizes = [[r["count"] for r in simhash._dealt(df, first, 64, most).groupBy("b", "k", "i", "j").count().collect()] for most in (10**6, 60)]
+    assert max(sizes[0]) > 200 and max(sizes[1]) <= 100
+    want = dict(zip(sorted(fps), components(sorted(fps), sorted(fps)), strict=True))
+    for most in (10**6, 60):
+        roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, 4, most=most)).collect()}
+        group = {}
+        for f in fps:
+            s = f - (f >> 63 << 64)
+            group.setdefault(roots.get(s, s), set()).add(want[f])
+        assert all(len(g) == 1 for g in group.values()) and len(group) == len(set(want.values()))
+
+
 def test_empty(docs_of):
     assert simhash.near_groups(docs_of([])).count() == 0
 
