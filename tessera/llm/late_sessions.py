@@ -11,7 +11,7 @@ number of batches.
 
 A micro-session is what a batch holds of one user in one stretch of ``gap`` seconds,
 made by partial aggregates. However many events a user has, a step sees at most one
-row of his or hers for each ``gap`` of the time that the batch spans, besides the
+row of that user for each ``gap`` of the time that the batch spans, besides the
 sessions that stand there; so no user is one task's burden.
 """
 
