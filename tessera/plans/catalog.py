@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import aggregates, changes, dialogues, documents, joins, scalars, shop, streams, user_functions, vectors, windows
+from tessera.plans import aggregates, changes, dialogues, documents, joins, scalars, shop, streams, times, user_functions, vectors, windows
 
-MODULES = (joins, aggregates, windows, scalars, dialogues, documents, shop, changes, vectors, streams, user_functions)
+MODULES = (joins, aggregates, windows, scalars, dialogues, documents, shop, changes, times, vectors, streams, user_functions)
 FLAGSHIP = "conv_summary"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
