@@ -15,7 +15,7 @@ def stamp_instants(spark: SparkSession, d: str) -> DataFrame:
     A slashed time of which day and month may change places is read as most of its source's decided ones;
     in a source without a majority it has no instant, nor have texts without a form or a date.
     """
-    s = table(spark, d, "stamps")
+    s = table(spark, d, "stamps").select("stamp_id", "source", "zone", "raw")
     order = times.slashed_order(F.col("raw"))
     votes = s.groupBy(F.col("source").alias("of")).agg(F.sum(F.when(order, 1).when(~order, -1).otherwise(0)).alias("votes"))
     most = F.when(F.col("votes") > 0, True).when(F.col("votes") < 0, False)
