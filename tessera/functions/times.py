@@ -30,14 +30,14 @@ def form(raw: Column) -> Column:
     return F.coalesce(*[F.when(text.rlike(pattern), name) for name, pattern in FORMS.items()])
 
 
-def slashed_order(raw: Column) -> Column:
-    """Whether the day comes first in a slashed time: true or false where only one order is a date, else null."""
+def slashed_order(raw: Column, name: Column) -> Column:
+    """Whether the day comes first in a slashed time (``name``: its form): true or false where only one order is a date, else null."""
     first, second = (F.regexp_extract(F.trim(raw), FORMS["slashed"], g).try_cast("int") for g in (1, 2))
-    return F.when((first > 12) & (second <= 12), True).when((first <= 12) & (second > 12), False)
+    return F.when(name == "slashed", F.when((first > 12) & (second <= 12), True).when((first <= 12) & (second > 12), False))
 
 
-def parts_of(raw: Column, day_first: Column) -> Column:
-    """The date and time that ``raw`` names, without a zone; null if it has no form or is no date. ``day_first`` decides slashed times."""
+def parts_of(raw: Column, name: Column, day_first: Column) -> Column:
+    """The date and time that ``raw`` of form ``name`` names, without a zone; null if it has no form or is no date. ``day_first`` decides slashed times."""
     text = F.trim(raw)
 
     def at(name: str, *groups: int) -> list[Column]:
@@ -66,18 +66,16 @@ def parts_of(raw: Column, day_first: Column) -> Column:
         "half_day": made(*slashed("half_day", F.lit(False)), hour, minute),
         "compact": made(*at("compact", 1, 2, 3)),
     }
-    name = form(raw)
     return reduce(lambda got, way: got.when(name == way, ways[way]), list(ways)[1:], F.when(name == "offset", ways["offset"]))
 
 
-def stated_instant(raw: Column) -> Column:
-    """The instant, as a time in UTC, that ``raw`` states by itself: with an offset, or as seconds or milliseconds of the epoch; else null."""
-    text, name = F.trim(raw), form(raw)
+def stated_instant(raw: Column, name: Column, at: Column) -> Column:
+    """The instant, as a time in UTC, that ``raw`` of form ``name`` states by itself: with an offset to ``at`` (its ``parts_of``), or as seconds or milliseconds of the epoch; else null."""
+    text = F.trim(raw)
     zone = F.regexp_extract(text, FORMS["offset"], 7)
     digits = F.regexp_replace(zone, "[^0-9]", "")
     ahead = (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")) * F.when(zone.startswith("-"), -1).otherwise(1)
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    at = parts_of(raw, F.lit(None).cast("boolean"))
     return (
         F.when(name == "offset", F.when(zone == "Z", at).otherwise(at - F.make_dt_interval(mins=ahead)))
         .when(name == "seconds", epoch + F.make_dt_interval(secs=text.try_cast("decimal(18,6)")))
@@ -89,7 +87,8 @@ def local_instants(local: Column, zone: Column) -> Column:
     """The instants, as times in UTC, that a local time may be: ``first``, ``last`` and whether the clock ``skipped`` it.
 
     ``first`` and ``last`` differ where the clock was set back over it. A skipped time is read by
-    the offset before the change, so it falls after it. The session's zone plays no part.
+    the offset before the change, so it falls after it. The session's zone plays no part. The
+    offsets of a day before and after are compared, so changes less than two days apart aren't told.
     """
     day = F.expr("INTERVAL '1' DAY")
 
@@ -103,4 +102,5 @@ def local_instants(local: Column, zone: Column) -> Column:
 
     first = F.when(real(before), before).when(real(after), after).otherwise(before)
     last = F.when(real(after), after).otherwise(before)
-    return F.struct(first.alias("first"), last.alias("last"), (~real(before) & ~real(after)).alias("skipped"))
+    changed = F.struct(first.alias("first"), last.alias("last"), (~real(before) & ~real(after)).alias("skipped"))
+    return F.when(before == after, F.struct(before.alias("first"), before.alias("last"), F.lit(False).alias("skipped"))).when(local.isNotNull() & zone.isNotNull(), changed)

@@ -15,14 +15,14 @@ def stamp_instants(spark: SparkSession, d: str) -> DataFrame:
     A slashed time of which day and month may change places is read as most of its source's decided ones;
     in a source without a majority it has no instant, nor have texts without a form or a date.
     """
-    s = table(spark, d, "stamps").select("stamp_id", "source", "zone", "raw")
-    order = times.slashed_order(F.col("raw"))
-    votes = s.groupBy(F.col("source").alias("of")).agg(F.sum(F.when(order, 1).when(~order, -1).otherwise(0)).alias("votes"))
+    s = table(spark, d, "stamps").select("stamp_id", "source", "zone", "raw", times.form(F.col("raw")).alias("form"))
+    s = s.withColumn("order", times.slashed_order(F.col("raw"), F.col("form")))
+    votes = s.where("form = 'slashed'").groupBy(F.col("source").alias("of")).agg(F.sum(F.when(F.col("order"), 1).when(~F.col("order"), -1).otherwise(0)).alias("votes"))
     most = F.when(F.col("votes") > 0, True).when(F.col("votes") < 0, False)
-    read = s.join(votes, F.col("source").eqNullSafe(F.col("of")), "left").select("stamp_id", "raw", "zone", F.coalesce(order, most).alias("day_first"))
-    local = read.select("stamp_id", "zone", times.form(F.col("raw")).alias("form"), times.stated_instant(F.col("raw")).alias("stated"), times.parts_of(F.col("raw"), F.col("day_first")).alias("local"))
+    read = s.join(votes, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("day_first", F.coalesce("order", most))
+    local = read.withColumn("local", times.parts_of(F.col("raw"), F.col("form"), F.col("day_first")))
     by_zone = F.when(F.col("form") != "offset", times.local_instants(F.col("local"), F.col("zone")))
-    found = local.select("stamp_id", "form", "stated", by_zone.alias("at"))
+    found = local.select("stamp_id", "form", times.stated_instant(F.col("raw"), F.col("form"), F.col("local")).alias("stated"), by_zone.alias("at"))
     return found.select("stamp_id", "form", F.coalesce("stated", "at.first").alias("at_utc"), F.coalesce(F.col("at.first") != F.col("at.last"), F.lit(False)).alias("twice"), F.coalesce("at.skipped", F.lit(False)).alias("never"))
 
 
