@@ -28,3 +28,28 @@ def reachable(seeds: DataFrame, edges: DataFrame, most_rounds: int | None = None
     for f in found[1:]:
         out = out.unionByName(f)
     return out
+
+
+def reachable_through(seeds: DataFrame, enters: DataFrame, leaves: DataFrame) -> DataFrame:
+    """node and step of all nodes that gates lead to from ``seeds`` (node), by the least number of steps.
+
+    enters (source, gate) and leaves (gate, target) stand for an edge from each source of a
+    gate to each of its targets. Those pairs are never made: a round goes from the nodes that
+    the round before found to their gates and on to the gates' targets, each counted once, so
+    it takes no more than both tables, however many share a gate. As for ``reachable``, rounds
+    are written, cycles end by themselves and nulls lead nowhere.
+    """
+    enters = written(enters.select("source", "gate").where("source IS NOT NULL AND gate IS NOT NULL").distinct(), "enters")
+    leaves = written(leaves.select("gate", "target").where("gate IS NOT NULL AND target IS NOT NULL").distinct(), "leaves")
+    found = [written(seeds.select("node").where("node IS NOT NULL").distinct().withColumn("step", F.lit(0)), "round")]
+    while not found[-1].isEmpty():
+        known = found[0]
+        for f in found[1:]:
+            known = known.unionByName(f)
+        gates = enters.join(found[-1].select(F.col("node").alias("source")), "source", "left_semi").select("gate").distinct()
+        next_ = leaves.join(gates, "gate", "left_semi").select(F.col("target").alias("node")).distinct()
+        found.append(written(next_.join(known.select("node"), "node", "left_anti").withColumn("step", F.lit(len(found))), "round"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out

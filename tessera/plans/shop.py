@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.ordered import ranks, running_totals
 from tessera.operators.quantiles import exact_quantiles
-from tessera.operators.reach import reachable
+from tessera.operators.reach import reachable_through
 from tessera.operators.written import written
 from tessera.tables import table
 
@@ -57,9 +57,11 @@ def global_running_sum(spark: SparkSession, d: str) -> DataFrame:
 def item_steps(spark: SparkSession, d: str) -> DataFrame:
     """J8 on data of any size: how many steps each item is from item 0, where one line of a sale leads to the next."""
     x = table(spark, d, "sale_lines").where("sale_id IS NOT NULL AND line_no IS NOT NULL").select("sale_id", "line_no", "item_id")
-    after = x.select("sale_id", (F.col("line_no") + 1).alias("line_no"), F.col("item_id").alias("source"))
-    edges = after.join(x, ["sale_id", "line_no"]).select("source", F.col("item_id").alias("target"))
-    return reachable(spark.range(1).select(F.col("id").alias("node")), edges).select(F.col("node").alias("item_id"), "step")
+    # A sale and a line's number are a gate: lines of one number may be very many in a sale.
+    gate = lambda line: F.struct("sale_id", line.cast("long").alias("line_no")).alias("gate")
+    enters = x.select(F.col("item_id").alias("source"), gate(F.col("line_no").cast("long") + 1))
+    leaves = x.select(gate(F.col("line_no")), F.col("item_id").alias("target"))
+    return reachable_through(spark.range(1).select(F.col("id").alias("node")), enters, leaves).select(F.col("node").alias("item_id"), "step")
 
 
 QUERIES = {f.__name__: f for f in (merged_sketches, quantiles_by_flag, quantiles_of_all, global_ranks, global_running_sum, item_steps)}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators.asof import asof_join
 from tessera.operators.ordered import frame_counts, ranks, running_totals
 from tessera.operators.quantiles import exact_quantiles
-from tessera.operators.reach import reachable
+from tessera.operators.reach import reachable, reachable_through
 from tessera.operators.sessions import sessionize
 
 
@@ -73,6 +73,21 @@ def test_reach(spark):
     assert dict(map(tuple, got.collect())) == step and max(step.values()) > 10
 
 
+def test_reach_through_a_gate_of_very_many(spark, tmp_path):
+    """A gate with 30,000 sources and as many targets stands for 900 million edges, as lines of one number in one sale do."""
+    n = 30_000
+    wide = [spark.range(1, n + 1).selectExpr("CAST(1 AS LONG) AS sale_id", f"CAST({k} AS INT) AS line_no", f"IF({k} = 1 AND id = 1, 0, id * 10 + {k}) AS item_id") for k in (1, 2, 3)]
+    few = spark.createDataFrame([(2, 1, 12), (2, 2, 5), (3, 1, 5), (3, 2, 0), (4, 1, 7), (4, 2, None), (None, 2, 9), (5, None, 0)], "sale_id long, line_no int, item_id long")
+    wide[0].unionByName(wide[1]).unionByName(wide[2]).unionByName(few).write.parquet(f"{tmp_path}/sale_lines.parquet")
+    from tessera.plans.shop import item_steps
+
+    got = dict(map(tuple, item_steps(spark, str(tmp_path)).collect()))
+    assert got == {0: 0} | {i * 10 + 2: 1 for i in range(1, n + 1)} | {i * 10 + 3: 2 for i in range(1, n + 1)} | {5: 2}
+    made = [(i, g) for i in range(6) for g in ("a", None)]
+    through = reachable_through(spark.createDataFrame([(0,), (None,)], "node long"), spark.createDataFrame(made, "source long, gate string"), spark.createDataFrame([("a", 3), ("a", None), (None, 4)], "gate string, target long"))
+    assert dict(map(tuple, through.collect())) == {0: 0, 3: 1}
+
+
 def test_names_of_callers_stay(spark):
     """Columns with the names that operators would use for themselves."""
     names = ["_new", "_slice", "_cut", "cut", "slice", "new", "sum", "before", "key0", "found", "bounds"]
