@@ -54,3 +54,25 @@ def test_repeated_ids_and_empty_tables(spark):
 def test_shingles(spark):
     df = spark.createDataFrame([(" a b\tc ",), ("a  b\nc d e f",), ("",), (" \n",), (None,)], "t string")
     assert [r[0] for r in df.select(shingles(F.col("t"), 5)).collect()] == [["a b c"], ["a b c d e", "b c d e f"], [], [], []]
+
+
+def test_little_moves(spark):
+    """A token is shuffled once, as two numbers, and tokens of sets that meet nothing not at all: 30 bytes a token suffice."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(600)) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *(f"{t} more" for t in texts[:4])])], "id long, t string")
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+
+    def moved():
+        bus.waitUntilEmpty(30_000)
+        return store.executorList(True).head().totalShuffleWrite()
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = moved()
+        assert similar_sets(df, "id", shingles(F.col("t"), 5), 0.8)[1].count() == 4
+        each = (moved() - before) / (596 * 404)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert each < 30, each
