@@ -132,9 +132,12 @@ def stream_outer_join(spark: SparkSession, d: str) -> DataFrame:
     """Purchases with the client's views up to half an hour before; one without comes out when the watermark has passed it."""
 
     def run(s: DataFrame) -> DataFrame:
+        # A view is in the half hour of its time and in the next, a purchase in its own: a client's rows of all times would meet each other.
+        slot = lambda c: F.floor(F.unix_seconds(c) / 1800)
         v = s.where("kind = 'view'").select(F.col("client_id").alias("viewer"), F.col("click_id").alias("view_id"), F.col("ts").alias("viewed")).withWatermark("viewed", _LATE)
-        p = s.where("kind = 'purchase'").select("client_id", F.col("click_id").alias("purchase_id"), F.col("ts").alias("bought")).withWatermark("bought", _LATE)
-        return p.join(v, F.expr("client_id = viewer AND viewed <= bought AND viewed >= bought - INTERVAL 30 MINUTES"), "left_outer").select("client_id", "purchase_id", "view_id")
+        v = v.withColumn("view_slot", F.explode(F.array(slot("viewed"), slot("viewed") + 1)))
+        p = s.where("kind = 'purchase'").select("client_id", F.col("click_id").alias("purchase_id"), F.col("ts").alias("bought")).withWatermark("bought", _LATE).withColumn("slot", slot("bought"))
+        return p.join(v, F.expr("client_id = viewer AND slot = view_slot AND viewed <= bought AND viewed >= bought - INTERVAL 30 MINUTES"), "left_outer").select("client_id", "purchase_id", "view_id")
 
     return drain_arrivals(_clicks(spark, d, "view", "purchase"), run).distinct()
 

@@ -37,3 +37,26 @@ def test_dedup_state_goes(spark):
     got = drain_arrivals(rows, run, watch=states(seen)).collect()
     assert sorted((r["i"], r["s"]) for r in got) == [(1, "a"), (2, "a"), (3, "a"), (4, "a")]
     assert seen[-1] == 1 and seen[0] == 2
+
+
+def test_a_client_is_joined_by_half_hours(spark, tmp_path, monkeypatch):
+    """Rows of one client meet in their half hour and the next one alone, and borders and ties stay whole."""
+    import duckdb
+
+    from tessera.plans import streams
+
+    half, start = 1800, dt.datetime(2024, 1, 1)
+    moments = [k * half + o for k in range(48) for o in (-1, 0, 1)]
+    rows = [(2 * i + j, start + dt.timedelta(seconds=s), start + dt.timedelta(seconds=s), 7, kind) for i, s in enumerate(moments) for j, kind in enumerate(("view", "purchase")) if (i + j) % 5]
+    path = f"{tmp_path}/clicks.parquet"
+    df = spark.createDataFrame(rows, "click_id long, ts timestamp, arrived_at timestamp, client_id long, kind string")
+    df.withColumns({c: df[c].cast("timestamp_ntz") for c in ("ts", "arrived_at")}).coalesce(1).write.parquet(path)
+    plans = []
+    run = streams.drain_arrivals
+    monkeypatch.setattr(streams, "drain_arrivals", lambda arrivals, query: run(arrivals, query, watch=lambda q: plans.append(q._jsq.explainInternal(False))))
+    got = streams.stream_outer_join(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW clicks AS SELECT * FROM '{path}/*.parquet'")
+    want = con.execute(streams.ORACLE_SQL["stream_outer_join"]).fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) > 100
+    assert all("StreamingSymmetricHashJoin [client_id#" in p and "slot#" in p for p in plans) and len(plans) == 4
