@@ -9,19 +9,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tessera.operators.names import free_names
+
 #: The state store that transformWithState needs.
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
+#: Groups of keys by hash; a checkpoint keeps to its number.
+GROUPS = 4096
+
+
 class Funnel(StatefulProcessor):
     """Steps that follow each other within ``within_us``, taken in order of event time however rows arrive.
 
-    Rows wait in a list until the watermark has passed them, so that late ones are put in
-    their place, and repeated ones count once. The map holds the latest row of each step that
-    has its step before it in time; the last step ends a funnel if it is the first of its kind
-    since the latest row of the step before. The value counts a key's funnels. A timer stands
-    where the next row is due, or where the map runs out; with nothing left all but the count
-    goes, and the count goes with the last funnel's ``keep_us``.
+    Each call for a state crosses to the JVM, so keys are taken in groups, whose states are read
+    and written together. Rows wait in a list until the watermark has passed them, so that late
+    ones are put in their place, and repeated ones count once. The map holds the latest row of
+    each key and step that has its step before it in time, while a next step may still follow;
+    the last step ends a funnel if it is the first of its kind since the latest row of the step
+    before. The value counts each key's funnels. A timer stands where the next row is due, or
+    where the map or a count runs out; with nothing else left of a key its count goes with the
+    last funnel's ``keep_us``.
     """
 
     def __init__(self, key: str, steps: Sequence[str], within_us: int, keep_us: int):
@@ -29,83 +37,82 @@ class Funnel(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, id long, step int")
-        self.reached = handle.getMapState("reached", "step int", "us long, ids array<long>, times array<long>")
-        self.done = handle.getValueState("done", "n long, us long")
+        self.waiting = handle.getListState("waiting", "own long, us long, id long, step int")
+        self.reached = handle.getMapState("reached", "own long, step int", "us long, ids array<long>, times array<long>")
+        self.done = handle.getValueState("done", "owns array<long>, ns array<long>, us array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs()
-        new = {(u, i, s) for b in rows for u, i, s in zip(b["us"].tolist(), b["id"].tolist(), b["step"].tolist(), strict=True)}
+        new = {r for b in rows for r in zip(b[self.key].tolist(), b["us"].tolist(), b["id"].tolist(), b["step"].tolist(), strict=True)}
         # Rows at or behind the watermark are late; Spark drops them, too, where it can.
-        new = {r for r in new if r[0] > mark * 1000}
+        new = {r for r in new if r[1] > mark * 1000}
         if new:
-            held = set(map(tuple, self.waiting.get())) if self.waiting.exists() else set()
-            self.waiting.put(sorted(held | new))
-        self._wake(mark)
+            self.waiting.appendList(list(new))
+            self.handle.registerTimer(self._after(min(r[1] for r in new), mark))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs()
         held = list(map(tuple, self.waiting.get())) if self.waiting.exists() else []
-        due, left = [r for r in held if r[0] < mark * 1000], [r for r in held if r[0] >= mark * 1000]
+        due, left = sorted({r for r in held if r[1] < mark * 1000}, key=lambda r: r[1:]), {r for r in held if r[1] >= mark * 1000}
         out = []
-        n, last = self.done.get() if self.done.exists() else (0, 0)
-        stage = {k[0]: tuple(v) for k, v in self.reached.iterator()} if due else {}
+        done = {o: (n, us) for o, n, us in zip(*self.done.get(), strict=True)} if self.done.exists() else {}
+        counted = dict(done)
+        stage = {tuple(k): tuple(v) for k, v in self.reached.iterator()}
         before = dict(stage)
-        for us, i, step in due:
-            prior = stage.get(step - 1)
+        for own, us, i, step in due:
+            prior = stage.get((own, step - 1))
             near = step == 0 or prior is not None and us - prior[0] <= self.within
-            own = ([*prior[1], i], [*prior[2], us]) if near and step else ([i], [us])
+            path = ([*prior[1], i], [*prior[2], us]) if near and step else ([i], [us])
             if step == len(self.steps) - 1:
-                stage.pop(step - 1, None)
+                stage.pop((own, step - 1), None)
                 if near:
-                    n, last = n + 1, us
-                    out.append((key[0], n, *own))
+                    done[own] = done.get(own, (0, 0))[0] + 1, us
+                    out.append((own, done[own][0], *path))
             elif near:
-                stage[step] = us, *own
+                stage[own, step] = us, *path
             else:
-                stage.pop(step, None)
-        for step in before.keys() - stage.keys():
-            self.reached.removeKey((step,))
-        for step in (s for s in stage if stage[s] != before.get(s)):
-            self.reached.updateValue((step,), stage[step])
-        if out:
-            self.done.update((n, last))
-        if due:
-            self.waiting.put(left) if left else self.waiting.clear()
-        if not left:
-            stage = stage or {k[0]: tuple(v) for k, v in self.reached.iterator()}
-            if all(v[0] + self.within < mark * 1000 for v in stage.values()):
-                self.reached.clear()
-                if last + self.keep < mark * 1000:
-                    self.done.clear()
-        self._wake(mark)
-        yield pd.DataFrame(out, columns=[self.key, "nth", "ids", "times"])
-
-    def _wake(self, mark: int) -> None:
-        """One timer: past the first waiting row, or past what the map or the count holds."""
+                stage.pop((own, step), None)
+        # What is still to come is at the watermark or later.
+        stage = {k: v for k, v in stage.items() if v[0] + self.within >= mark * 1000}
+        for k in before.keys() - stage.keys():
+            self.reached.removeKey(k)
+        for k in (k for k in stage if stage[k] != before.get(k)):
+            self.reached.updateValue(k, stage[k])
+        busy = {r[0] for r in left} | {k[0] for k in stage}
+        done = {o: v for o, v in done.items() if o in busy or v[1] + self.keep >= mark * 1000}
+        if done != counted:
+            self.done.update(([*done], [v[0] for v in done.values()], [v[1] for v in done.values()])) if done else self.done.clear()
+        if len(left) < len(held):
+            self.waiting.put(list(left)) if left else self.waiting.clear()
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        ends = [min(r[0] for r in self.waiting.get())] if self.waiting.exists() else [v[0] + self.within for v in self.reached.values()]
-        if not ends and self.done.exists():
-            ends = [self.done.get()[1] + self.keep]
+        ends = [r[1] for r in left] + [v[0] + self.within for v in stage.values()] + [v[1] + self.keep for o, v in done.items() if o not in busy]
         if ends:
-            self.handle.registerTimer(max((min(ends) if self.waiting.exists() else max(ends)) // 1000 + 1, mark + 1))
+            self.handle.registerTimer(self._after(min(ends), mark))
+        yield pd.DataFrame(out, columns=[self.key, "nth", "ids", "times"])
+
+    @staticmethod
+    def _after(us: int, mark: int) -> int:
+        return max(us // 1000 + 1, mark + 1)
 
     def close(self) -> None:
         pass
 
 
-def funnels(stream: DataFrame, key: str, time: str, id_col: str, kind: str, steps: Sequence[str], within_seconds: int, keep_seconds: int = 0) -> DataFrame:
+def funnels(stream: DataFrame, key: str, time: str, id_col: str, kind: str, steps: Sequence[str], within_seconds: int, keep_seconds: int = 0, groups: int = GROUPS) -> DataFrame:
     """key (a long), nth (of the key's funnels while its state is kept), ids and times of each funnel.
 
     ``stream`` has a watermark on ``time``; the session's state store must be that of STORE.
     Rows of other kinds, and rows without key, time or id, take no part; rows that differ in
-    nothing count once. Append mode.
+    nothing count once. groups: a task holds the waiting rows of one of so many groups of keys.
+    Append mode.
     """
     rows = stream.where(F.col(key).isNotNull() & F.col(time).isNotNull() & F.col(id_col).isNotNull() & F.col(kind).isin(*steps))
     number = F.coalesce(*[F.when(F.col(kind) == s, F.lit(i)) for i, s in enumerate(steps)])
     slim = rows.select(F.col(key).cast("long").alias(key), time, F.unix_micros(time).alias("us"), F.col(id_col).cast("long").alias("id"), number.alias("step"))
     processor = Funnel(key, steps, within_seconds * 1_000_000, keep_seconds * 1_000_000)
-    out = slim.groupBy(key).transformWithStateInPandas(processor, f"{key} long, nth long, ids array<long>, times array<long>", "append", "eventTime")
+    (group,) = free_names("group", slim)
+    slim = slim.withColumn(group, F.pmod(F.xxhash64(key), F.lit(groups)))
+    out = slim.groupBy(group).transformWithStateInPandas(processor, f"{key} long, nth long, ids array<long>, times array<long>", "append", "eventTime")
     return out.withColumn("times", F.transform("times", lambda t: F.timestamp_micros(t)))

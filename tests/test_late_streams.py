@@ -60,3 +60,18 @@ def test_a_client_is_joined_by_half_hours(spark, tmp_path, monkeypatch):
     want = con.execute(streams.ORACLE_SQL["stream_outer_join"]).fetchall()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) > 100
     assert all("StreamingSymmetricHashJoin [client_id#" in p and "slot#" in p for p in plans) and len(plans) == 4
+
+
+def test_keys_of_a_group(spark):
+    """Keys that share a state are told apart, their counts go on and end each by itself; calls for a state don't grow with the keys."""
+    made = lambda t, ks: [(k, t + d, 10 * k + n, s) for k in ks for d, n, s in ((0, t * 1000 + 1, "see"), (10, t * 1000 + 2, "buy"))]
+    rows = portions(spark, made(0, range(40)), made(200, range(0, 40, 2)), [(99, 1000, 1, "see")], made(1010, range(3)), [(99, 9000, 1, "see")])
+    run = lambda s: funnels(s.withWatermark("ts", "1 hour"), "k", "ts", "i", "s", ["see", "buy"], 1800, 36_000, groups=1)
+    seen = []
+    got = drain_arrivals(rows, run, STORE, states(seen)).collect()
+    want = [(k, 1) for k in range(40)] + [(k, 2) for k in range(0, 40, 2)]
+    assert sorted((r["k"], r["nth"]) for r in got if r["times"][0] < T0 + 900 * MINUTE) == sorted(want)
+    # The counts of even keys run out 600 minutes after minute 210, before minute 1010.
+    assert sorted((r["k"], r["nth"]) for r in got if r["times"][0] > T0 + 900 * MINUTE) == [(0, 1), (1, 1), (2, 1)]
+    # One list row, one timer and no count: 40 keys are one state.
+    assert max(seen) < 60 and seen[-1] <= 4
