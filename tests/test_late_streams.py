@@ -75,3 +75,16 @@ def test_keys_of_a_group(spark):
     assert sorted((r["k"], r["nth"]) for r in got if r["times"][0] > T0 + 900 * MINUTE) == [(0, 1), (1, 1), (2, 1)]
     # One list row, one timer and no count: 40 keys are one state.
     assert max(seen) < 60 and seen[-1] <= 4
+
+
+def test_sessions_of_a_group(spark):
+    """Open sessions of 40 keys are two states at most, and each key's sessions are its own."""
+    from tessera.streaming.sessions import closed_sessions
+
+    first = [(k, m, 1, "a") for k in range(40) for m in (0, 10, 25 if k % 2 else 60)]
+    seen = []
+    run = lambda s: closed_sessions(s.withWatermark("ts", "1 hour"), "k", "ts", 1800, groups=2)
+    got = drain_arrivals(portions(spark, first, [(99, 5000, 1, "a")]), run, watch=states(seen)).collect()
+    want = [(k, m, n) for k in range(40) for m, n in ([(0, 3)] if k % 2 else [(0, 2), (60, 1)])]
+    assert sorted((r["k"], round((r["start"] - T0) / MINUTE), r["n"]) for r in got) == sorted(want)
+    assert max(seen) <= 2 and seen[-1] == 1
